@@ -55,8 +55,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mix(read(spark, d, "documents"), targets), targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.spam import spam
+
+    return spam(read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_chunks, p2_fill, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p2_chunks, p2_fill, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
