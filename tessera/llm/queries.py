@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from tessera.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.llm.handwritten import made
+
+    return made(read(spark, d, "sources"))
+
+
+def p1_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How the classifiers do on the repositories held out of the fit, against the first labels."""
+    from tessera.llm.handwritten import fit
+
+    report = fit(read(spark, d, "sources"))[1]
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} int" for k in report))
+
+
 def p2_chunks(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.packing import pack_sources
 
@@ -62,7 +76,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_chunks, p2_fill, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_validation, p2_chunks, p2_fill, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
