@@ -16,8 +16,8 @@ output) against the files that no side marks or finds; what another side alone s
 until this side's classifier finds it, which makes it an example of the next round. So comments
 that only name or quote a mark, with hand-written code below, are learned as negatives.
 
-The fit takes a sample of at most TRAINING_FILES scans; a fifth of the repositories is held out
-of it and gives the accuracy reported by `validation`. Every scan is then classified whole; only
+The fit takes a sample of at most TRAINING_FILES scans. For validation, a fit that holds out a
+fifth of the repositories is measured on these (`fit(sources, hold_out=True)`). Every scan is then classified whole; only
 paths, times and verdicts are shuffled to take each file's present state.
 
 A null content is judged by its path alone, an empty one as well. Files with another suffix than
@@ -240,7 +240,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint16, n).astype(np.int64), np.frombuffer(data, np.float16, n, 2 * n).astype(float)
 
 
-def fit(sources: DataFrame) -> tuple[dict[str, np.ndarray], dict]:
+def fit(sources: DataFrame, hold_out: bool = False) -> tuple[dict[str, np.ndarray], dict]:
+    """The classifiers, fitted to all sampled repositories or to four fifths of them."""
     code = sources.where(F.col("source_file").rlike(SUFFIX)).select("source_file", "content")
     part = min(1.0, TRAINING_FILES / max(1, sources.count()))
     chosen = code.where(F.pmod(F.xxhash64("source_file", F.length("content")), F.lit(1_000_000)) < int(part * 1_000_000))
@@ -261,7 +262,7 @@ def fit(sources: DataFrame) -> tuple[dict[str, np.ndarray], dict]:
     flags = np.array(rows["flags"].to_pylist(), dtype=np.int64)
     repos = rows["repo"].to_pylist()
     names = sorted(set(repos))
-    out_of_fit = set(names[::5]) if len(names) >= 5 else set()
+    out_of_fit = set(names[::5]) if hold_out and len(names) >= 5 else set()
     bit = lambda k: (flags >> k & 1).astype(bool)
     sample = {"marks": np.stack([bit(0), bit(1), bit(2)], axis=1), "seen": bit(3), "headed": bit(4), "copies": bit(5), "held": np.array([r in out_of_fit for r in repos], bool)}
     sample |= {side: [_unpack(x) for x in rows[side].to_pylist()] for side in BUCKETS}

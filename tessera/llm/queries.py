@@ -20,7 +20,7 @@ def p1_validation(spark: SparkSession, d: str) -> DataFrame:
     """How the classifiers do on the repositories held out of the fit, against the first labels."""
     from tessera.llm.handwritten import fit
 
-    report = fit(read(spark, d, "sources"))[1]
+    report = fit(read(spark, d, "sources"), hold_out=True)[1]
     return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} int" for k in report))
 
 
