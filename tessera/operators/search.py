@@ -60,8 +60,8 @@ def seeds(scores: DataFrame, most: int = 3, gap: float = 0.2) -> DataFrame:
     """At most three seeds, one per label, none under a fifth of the best score."""
     order = [F.desc("score"), F.length("label"), F.col("id")]
     one = first_by(scores.withColumn("key", F.lower(F.coalesce("label", F.lit("")))), ["key"], order)
-    few = one.orderBy(*order).limit(most)
-    return few.where(F.col("score") >= gap * F.max("score").over(Window.partitionBy(F.lit(0)))).select("id", "label", "score")
+    few = one.orderBy(*order).limit(most).withColumn("best", F.max("score").over(Window.partitionBy(F.lit(0))))
+    return few.where(F.col("score") >= gap * F.col("best")).select("id", "label", "score")
 
 
 def hub_threshold(degrees: DataFrame) -> DataFrame:

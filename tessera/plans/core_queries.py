@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import orphans as o
+from tessera.plans import graph_queries as _graph_queries  # noqa: F401  (fills the registry)
+from tessera.plans.registry import QUERIES, SQL
 from tessera.operators import skew
 from tessera.session import read
 
@@ -32,11 +34,8 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_degrees, p5_found, p5_report)}
-
-
-_NORM = r"lower(trim(regexp_replace(nfc_normalize({0}), '[^\p{{L}}\p{{N}}]+', '_', 'g'), '_'))"
+    return {f.__name__: f for f in (p3_found, p3_degrees, p5_found, p5_report)} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
