@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import orphans as o
 from tessera.plans import graph_queries as _graph_queries  # noqa: F401  (fills the registry)
+from tessera.plans import more_queries as _more_queries  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 from tessera.operators import skew
 from tessera.session import read

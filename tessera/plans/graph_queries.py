@@ -42,9 +42,9 @@ def degree(spark, d):
     return g.degree(edges(spark, d))
 
 
-@query("g02_latest_nodes", GRAPH + "SELECT id, label, file_type, community FROM n")
+@query("g02_latest_nodes", GRAPH + "SELECT id, label, file_type, coalesce(community, -1) AS community FROM n")
 def latest_nodes(spark, d):
-    return nodes(spark, d).select("id", "label", "file_type", "community")
+    return nodes(spark, d).select("id", "label", "file_type", F.coalesce("community", F.lit(-1)).alias("community"))
 
 
 @query("g03_first_edges", "SELECT source, target, relation, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY ingested_at, edge_id) AS rk FROM edges WHERE source IS NOT NULL AND target IS NOT NULL) WHERE rk = 1")
