@@ -89,6 +89,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
 
 def pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(source_file, piece, start, end, text) of (source_file, content)."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be shorter than a piece")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("source_file", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
