@@ -151,6 +151,8 @@ def made_by_structure(body: str) -> bool:
         return False
     if sum(len(line) for line in lines if len(line) > 400) > 0.6 * size:
         return True
+    if np.isin(data, (9, 10, 13, 32)).sum() < 0.07 * len(data):  # minified, if wrapped at some width
+        return True
     if len(lines) >= 8:
         for same, most, share in ((re.sub(rb"\d+", b"0", data.tobytes()), 6, 0.85), (_shape(data).tobytes(), 3, 0.9)):
             equal = Counter(line for line in map(bytes.strip, same.split(b"\n")) if line)
