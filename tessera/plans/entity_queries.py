@@ -120,3 +120,36 @@ def same_topology(spark, d):
     return g.diff(e, edges(spark, d), ["source", "target", "relation"]).agg((F.count("*") == 0).alias("same"))
 
 
+
+
+RULES = ["*.rst", "tools/", "!tools/keep.py", "/nothing", "**/auth/**"]
+
+
+@query("s05_ignored", "SELECT DISTINCT source_file FROM sources WHERE regexp_matches(source_file, '\\.rst$') OR contains(source_file, '/tools/') OR contains(source_file, '/auth/')")
+def ignored_files(spark, d):
+    from tessera.operators.resolution import ignored
+
+    return read(spark, d, "sources").where(ignored(F.col("source_file"), RULES)).select("source_file").distinct()
+
+
+@query("t05_budget", GRAPH + ", x AS (SELECT id, degree FROM deg ORDER BY degree DESC, id LIMIT 500), y AS (SELECT id, sum(length(id) + 1) OVER (ORDER BY degree DESC, id) AS upto FROM x) SELECT id, upto::BIGINT AS upto FROM y WHERE upto <= 3000")
+def budget(spark, d):
+    from tessera.operators.resolution import within_budget
+
+    top = g.degree(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(500)
+    return within_budget(top.withColumn("line", F.col("id")), [F.desc("degree"), F.col("id")], 3000).select("id", "upto")
+
+
+@query("q11_resolve_seed", GRAPH + ", k AS (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, min(id) AS id, count(*) AS c FROM n WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]') GROUP BY 1) SELECT name, CASE WHEN c = 1 THEN id END AS id FROM k")
+def resolve_seed(spark, d):
+    n = nodes(spark, d).where(F.length("label") == F.octet_length("label"))
+    by = n.groupBy(F.regexp_replace(F.lower("label"), r"\(\)$", "").alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    return by.select("name", F.when(F.col("c") == 1, F.col("id")).alias("id"))
+
+
+@query("j17_import_chains")
+def import_chains(spark, d):
+    from tessera.operators.resolution import follow
+
+    links = edges(spark, d).where("relation = 'imports' and source <> target").select(F.col("source").alias("name"), F.col("target").alias("to"))
+    return follow(links)
