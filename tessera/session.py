@@ -29,12 +29,14 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the folder named by spark.checkpoint.dir, which all
-    executors share, so the rows survive the loss of an executor. A folder of our own is used
-    only where the session names none, as in tests."""
+    executors share, so the rows survive the loss of an executor. Where the session names none, a
+    local session (as in tests) gets a temporary folder, a cluster one under its warehouse."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        context.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
