@@ -29,6 +29,10 @@ def label_key_text(value: str) -> str:
     return _NON_WORD.sub(" ", unicodedata.normalize("NFKC", value).casefold()).strip()
 
 
+def folded_text(value: str) -> str:
+    return unicodedata.normalize("NFC", value).casefold()
+
+
 def search_form_text(value: str) -> str:
     parts = unicodedata.normalize("NFKD", value)
     return "".join(c for c in parts if not unicodedata.combining(c)).lower()
@@ -61,6 +65,10 @@ def _label(values: pa.Array) -> pa.Array:
     return _by_batch(values, lambda v: _squeeze(v, " "), label_key_text)
 
 
+def _folded(values: pa.Array) -> pa.Array:
+    return _by_batch(values, pc.ascii_lower, folded_text)
+
+
 def _search(values: pa.Array) -> pa.Array:
     return _by_batch(values, pc.ascii_lower, search_form_text)
 
@@ -82,4 +90,5 @@ def _column_function(function: Callable, doc: str) -> Callable[[Column], Column]
 normalize_id = _column_function(_normalize, "Null stays null; a blank value gives an empty string.")
 node_reference = _column_function(_reference, "The normalised id, or null where the value is null or has no letter or digit.")
 label_key = _column_function(_label, "Key under which labels are compared when entities are merged.")
+folded = _column_function(_folded, "NFC and casefold, under which the labels of seeds are compared.")
 search_form = _column_function(_search, "Lower case without diacritics, for search.")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import folded
+
 # Fixed values of the data model.
 SYNONYMS = {"markdown": "document", "text": "document", "tool": "code", "library": "code"}
 FILE_TYPES = ("code", "document", "paper", "image", "rationale", "concept")
@@ -113,6 +115,11 @@ def bare_name(label: Column) -> Column:
     return F.regexp_replace(F.lower(label), r"\(\)$", "")
 
 
+def bare_label(label: Column) -> Column:
+    """The name of a seed: casefold, without the parentheses of a callable."""
+    return F.regexp_replace(folded(label), r"\(\)$", "")
+
+
 def surprise(e: dict[str, Column]) -> Column:
     """How surprising an edge between two files is. `e` has conf, relation, files a and b,
     communities ca and cb, and degrees da and db."""

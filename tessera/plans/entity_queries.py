@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import communities, dedup
 from tessera.operators import graph as g
+from tessera.operators import rules as r
+from tessera.operators.search import searchable
 from tessera.plans.graph_queries import SIDES, edges, nodes, with_files
 from tessera.plans.registry import GRAPH, query
 from tessera.session import read
@@ -25,22 +27,19 @@ def detected(spark, d):
 def label_keys(spark, d):
     from tessera.functions.ids import label_key
 
-    lab = F.col("label")
-    return read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab)).select(label_key(lab).alias("key")).distinct()
+    return read(spark, d, "nodes").where("label is not null").select(label_key(F.col("label")).alias("key")).distinct()
 
 
 @query("p01_normal_ids", "SELECT DISTINCT trim(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM nodes WHERE id IS NOT NULL AND NOT regexp_matches(id, '[^\\x00-\\x7f]')")
 def normal_ids(spark, d):
     from tessera.functions.ids import normalize_id
 
-    i = F.col("id")
-    return read(spark, d, "nodes").where(F.length(i) == F.octet_length(i)).select(normalize_id(i).alias("id")).distinct()
+    return read(spark, d, "nodes").where("id is not null").select(normalize_id(F.col("id")).alias("id")).distinct()
 
 
 @query("q05_find_node", "WITH n AS (SELECT DISTINCT id, lower(label) AS t, lower(source_file) AS f FROM nodes WHERE id IS NOT NULL AND NOT regexp_matches(coalesce(label,''), '[^\\x00-\\x7f]')) SELECT DISTINCT id, tier FROM (SELECT id, CASE WHEN f = 'cache' THEN 0 WHEN t = 'cache' THEN 1 WHEN starts_with(t, 'cache') THEN 2 WHEN contains(t, 'cache') THEN 3 END AS tier FROM n) WHERE tier IS NOT NULL")
 def find_node(spark, d):
-    lab = F.coalesce(F.col("label"), F.lit(""))
-    n = read(spark, d, "nodes").where("id is not null").where(F.length(lab) == F.octet_length(lab)).select("id", F.lower("label").alias("t"), F.lower("source_file").alias("f"))
+    n = searchable(read(spark, d, "nodes").where("id is not null")).select("id", F.col("norm").alias("t"), F.col("file").alias("f"))
     tier = F.when(F.col("f") == "cache", 0).when(F.col("t") == "cache", 1).when(F.col("t").startswith("cache"), 2).when(F.col("t").contains("cache"), 3)
     return n.select("id", tier.alias("tier")).where("tier is not null").distinct()
 
@@ -69,8 +68,7 @@ def questions(spark, d):
 @query("q22_sections", "WITH k AS (SELECT * FROM (VALUES ('storage','cache'),('storage','store'),('parsing','parse'),('parsing','token'),('graph','graph'),('graph','edge'),('graph','node')) t(section, word)), n AS (SELECT DISTINCT id, lower(label) AS t FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]')), s AS (SELECT id, section, count(*) AS hits FROM n JOIN k ON contains(t, word) GROUP BY id, section) SELECT id, section FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, section) AS rk FROM s) WHERE rk = 1")
 def sections(spark, d):
     words = {"storage": ["cache", "store"], "parsing": ["parse", "token"], "graph": ["graph", "edge", "node"]}
-    lab = F.col("label")
-    n = read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab)).select("id", F.lower(lab).alias("t")).distinct()
+    n = read(spark, d, "nodes").where("label is not null").select("id", F.lower("label").alias("t")).distinct()
     hits = F.array(*(F.struct((-F.size(F.filter(F.array(*map(F.lit, ws)), lambda w: F.col("t").contains(w)))).alias("less"), F.lit(name).alias("section")) for name, ws in words.items()))
     per = n.select("id", F.explode(hits).alias("x")).select("id", "x.*").groupBy("id", "section").agg(F.sum("less").alias("less")).where("less < 0")
     return per.groupBy("id").agg(F.min_by("section", F.struct("less", "section")).alias("section"))
@@ -142,8 +140,8 @@ def budget(spark, d):
 
 @query("q11_resolve_seed", GRAPH + ", k AS (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, min(id) AS id, count(*) AS c FROM n WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]') GROUP BY 1) SELECT name, CASE WHEN c = 1 THEN id END AS id FROM k")
 def resolve_seed(spark, d):
-    n = nodes(spark, d).where(F.length("label") == F.octet_length("label"))
-    by = n.groupBy(F.regexp_replace(F.lower("label"), r"\(\)$", "").alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    n = nodes(spark, d).where("label is not null")
+    by = n.groupBy(r.bare_label(F.col("label")).alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("c"))
     return by.select("name", F.when(F.col("c") == 1, F.col("id")).alias("id"))
 
 

@@ -156,8 +156,7 @@ def tokens(spark, d):
 
 @query("p19_bare_names", "SELECT seq, regexp_replace(lower(label), '\\(\\)$', '') AS bare FROM nodes WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')")
 def bare_names(spark, d):
-    lab = F.col("label")
-    return read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab)).select("seq", r.bare_name(lab).alias("bare"))
+    return read(spark, d, "nodes").select("seq", r.bare_label(F.col("label")).alias("bare"))
 
 
 @query("s02_file_classes", "SELECT lower(regexp_extract(source_file, '\\.([A-Za-z0-9]+)$', 1)) AS suffix, CASE WHEN lower(regexp_extract(source_file, '\\.([A-Za-z0-9]+)$', 1)) IN ('py','js','ts','go','java','rs','c') THEN 'code' WHEN lower(regexp_extract(source_file, '\\.([A-Za-z0-9]+)$', 1)) IN ('md','mdx','rst','txt') THEN 'document' END AS kind, count(*) AS n FROM sources GROUP BY 1, 2")
@@ -264,8 +263,7 @@ def thin(spark, d):
 
 @query("g16_idf", "WITH n AS (SELECT DISTINCT label FROM nodes WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')), t AS (SELECT unnest(['graph','token','cache','buffer']) AS term) SELECT term, count(*) FILTER (contains(lower(label), term)) AS df, round(ln(1 + count(*) / (1.0 + count(*) FILTER (contains(lower(label), term)))), 9) AS idf FROM n, t GROUP BY term")
 def idf(spark, d):
-    lab = F.col("label")
-    n = read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab)).select("label").distinct().withColumn("source_file", F.lit(""))
+    n = read(spark, d, "nodes").select("label").distinct().withColumn("source_file", F.lit(""))
     return s.idf(n, ["graph", "token", "cache", "buffer"])
 
 

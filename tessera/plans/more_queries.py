@@ -102,7 +102,7 @@ def merge_by_label(spark, d):
 
 @query("j14_unique_targets", GRAPH + "SELECT name, min(id) AS id FROM (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, id FROM n WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')) GROUP BY name HAVING count(*) = 1")
 def unique_targets(spark, d):
-    n = nodes(spark, d).where(F.length("label") == F.octet_length("label"))
+    n = nodes(spark, d).where("label is not null")
     return incremental.unique_label_targets(n, n.select(r.bare_name(F.col("label")).alias("name")))
 
 
@@ -115,15 +115,14 @@ def group_members(spark, d):
 
 @query("g07_label_groups", "WITH x AS (SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS k, source_file FROM (SELECT DISTINCT id, label, source_file FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]') AND source_file <> '' AND id IS NOT NULL AND file_type <> 'code')) SELECT k, source_file, arg_min(id, lpad(length(id)::VARCHAR, 6, '0') || id) AS winner, count(DISTINCT id) AS ids FROM x WHERE k <> '' GROUP BY k, source_file HAVING count(DISTINCT id) > 1")
 def label_groups(spark, d):
-    x = read(spark, d, "nodes").where("label is not null and source_file <> '' and id is not null and file_type <> 'code'").where(F.length("label") == F.octet_length("label")).select("id", "label", "source_file").distinct()
+    x = read(spark, d, "nodes").where("label is not null and source_file <> '' and id is not null and file_type <> 'code'").select("id", "label", "source_file").distinct()
     x = x.withColumn("k", label_key(F.col("label"))).where("k <> ''")
     return x.groupBy("k", "source_file").agg(F.min_by("id", F.struct(F.length("id"), "id")).alias("winner"), F.countDistinct("id").alias("ids")).where("ids > 1")
 
 
 @query("y07_label_index", "SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, count(DISTINCT id) AS ids FROM nodes WHERE label IS NOT NULL AND id IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]') GROUP BY 1")
 def label_index(spark, d):
-    lab = F.col("label")
-    return read(spark, d, "nodes").where("id is not null").where(F.length(lab) == F.octet_length(lab)).groupBy(r.bare_name(lab).alias("name")).agg(F.countDistinct("id").alias("ids"))
+    return read(spark, d, "nodes").where("id is not null and label is not null").groupBy(r.bare_name(F.col("label")).alias("name")).agg(F.countDistinct("id").alias("ids"))
 
 
 @query("y08_existing_triples", "SELECT DISTINCT source, target, relation FROM edges WHERE source <> '' AND target <> ''")
@@ -179,8 +178,7 @@ def node_link(spark, d):
 
 @query("x02_links", "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"\\)\\]|]+')) AS url FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def doc_links(spark, d):
-    t = F.col("text")
-    return text.links(read(spark, d, "documents").where(F.length(t) == F.octet_length(t)), "doc_id", "text")
+    return text.links(read(spark, d, "documents"), "doc_id", "text")
 
 
 @query("x02_headings")
@@ -223,15 +221,12 @@ def around(spark, d):
 
 @query("q06_label_matches", "SELECT DISTINCT id FROM nodes WHERE contains(lower(label), 'cache') AND NOT regexp_matches(label, '[^\\x00-\\x7f]')")
 def label_matches(spark, d):
-    lab = F.col("label")
-    n = read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab))
-    return searchable(n).where(F.col("norm").contains("cache")).select("id").distinct()
+    return searchable(read(spark, d, "nodes")).where(F.col("norm").contains("cache")).select("id").distinct()
 
 
 @query("j13_trigram_candidates", "WITH l AS (SELECT DISTINCT id, lower(label) AS t FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]')) SELECT DISTINCT id FROM l WHERE contains(t, 'cac') AND contains(t, 'ach') AND contains(t, 'che')")
 def trigram_candidates(spark, d):
-    lab = F.col("label")
-    l = read(spark, d, "nodes").where(F.length(lab) == F.octet_length(lab)).select("id", F.lower(lab).alias("t")).distinct()  # noqa: E741
+    l = searchable(read(spark, d, "nodes")).select("id", F.col("norm").alias("t")).distinct()  # noqa: E741
     postings = l.select("id", "t", F.explode(r.shingles(F.col("t"))).alias("g")).where(F.col("g").isin("cac", "ach", "che"))
     return postings.groupBy("id", "t").agg(F.countDistinct("g").alias("k")).where("k = 3").select("id").distinct()
 

@@ -13,8 +13,8 @@ def html_text(html: Column, cap: int = 8000) -> Column:
 
 
 def links(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, url): the distinct http links of each text."""
-    return texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"https?://[^\s<>\"\)\]|]+"), F.lit(0))).alias("url")).distinct()
+    """(key, url): the distinct http links of each text, ended by white space of any script."""
+    return texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"https?://[^\s\p{Z}\x{85}<>\"\)\]|]+"), F.lit(0))).alias("url")).distinct()
 
 
 def headings(sources: DataFrame, key: str, text: str) -> DataFrame:
