@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import search_form
-from tessera.operators.graph import both_ways, degree, first_by, pairs
+from tessera.operators.graph import both_ways, degree, first_by
 from tessera.session import cut
 
 # Question and filler words that seed no search.
@@ -100,9 +100,9 @@ def affected(edges: DataFrame, start: DataFrame, relations: list[str], depth: in
     return out.select("id", "hops", "via")
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """(id, hops): undirected distances from the start, at most `most`."""
-    links = both_ways(pairs(edges))
+def distances(links: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """(id, hops): distances from the start over links (id, other) in both directions, at most `most`."""
+    start = cut(start)
     seen = start.select("id", F.lit(0).alias("hops"))
     frontier = start.select("id")
     for hop in range(1, most + 1):

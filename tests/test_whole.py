@@ -52,3 +52,18 @@ def test_equal_labels_beyond_ascii_are_grouped(spark, tmp_path):
     rows = [(1, "a1", "Größe", "document"), (2, "a", "GRÖSSE", "document"), (3, "b", "größe!", "code"), (4, "c", "Größe", None)]
     _table(spark, tmp_path, [(s, i, label, kind, "r/x.md", None, "r", 1, None, None) for s, i, label, kind in rows])
     assert _got(spark, tmp_path, "g07_label_groups") == {("grösse", "r/x.md", "a", 2)}
+
+
+def _graph(spark, folder, links):
+    """Nodes and edges of (source, target, relation); the file of node x is f/x.py."""
+    ids = sorted({x for a, b, _ in links for x in (a, b)})
+    _table(spark, folder, [(i, x, x, "code", f"f/{x}.py", None, "r", i % 3, None, None) for i, x in enumerate(ids)])
+    rows = [(i, *link, "EXTRACTED", None, None, None, None, None, None) for i, link in enumerate(links)]
+    spark.createDataFrame(rows, "edge_id long, source string, target string, relation string, confidence string, confidence_score double, weight double, context string, source_file string, captured_at timestamp_ntz, ingested_at timestamp_ntz").coalesce(1).write.parquet(f"{folder}/edges.parquet")
+
+
+def test_distances_of_eight_hops(spark, tmp_path):
+    star = [(h, f"{h}{i}", "calls") for h in "abc" for i in range(4)]
+    _graph(spark, tmp_path, star + [("c", "n01", "calls")] + [(f"n{i + 1:02}", f"n{i:02}", "calls") for i in range(1, 10)])
+    want = {(h, 0) for h in "abc"} | {(f"{h}{i}", 1) for h in "abc" for i in range(4)} | {(f"n{i:02}", i) for i in range(1, 9)}
+    assert _got(spark, tmp_path, "q09_distances") == want
