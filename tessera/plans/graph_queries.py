@@ -337,11 +337,25 @@ UNION ALL SELECT x.a || ' > ' || x.b || ' > ' || y.b, 3 FROM f x JOIN f y ON y.a
 def import_cycles(spark, d):
     f = file_graph(spark, d)
     one = f.where("a = b").select(F.col("a").alias("cycle"), F.lit(1).alias("length"))
-    x, y, z = f.toDF("a", "b"), f.toDF("b", "c"), f.toDF("c", "e")
-    walk = x.where("a < b").join(y, "b").where("b <> c")
-    two = walk.where("a = c").select(F.concat_ws(" > ", "a", "b").alias("cycle"), F.lit(2).alias("length"))
-    three = walk.where("a < c").join(z, "c").where("e = a").select(F.concat_ws(" > ", "a", "b", "c").alias("cycle"), F.lit(3).alias("length"))
-    return one.unionByName(two).unionByName(three)
+    steps = f.where("a <> b").toDF("x", "y")
+    # every cycle starts at its smallest file v1; walks from v1 meet walks back to it, so that none is longer than three steps
+    ahead = [steps.where("x < y").toDF("v1", "v2")]
+    for k in (2, 3):
+        new = F.col("y")
+        ahead.append(ahead[-1].join(steps, F.col(f"v{k}") == F.col("x")).where((new > F.col("v1")) & ~new.isin(*(F.col(f"v{i}") for i in range(2, k + 1)))).withColumnRenamed("y", f"v{k + 1}").drop("x"))
+    back = steps.where("y < x").select(F.col("y").alias("v1"), F.col("x").alias("last"))
+    back2 = back.join(steps, F.col("last") == F.col("y")).where("x > v1").select("v1", F.col("x").alias("end"), "last")
+    out = one
+    for k, walk in enumerate(ahead[:2], 2):
+        out = out.unionByName(_closed(walk.join(back.withColumnRenamed("last", f"v{k}"), ["v1", f"v{k}"]), k))
+    for k, walk in enumerate(ahead[1:], 3):
+        met = walk.join(back2.withColumnRenamed("end", f"v{k}"), ["v1", f"v{k}"]).where(~F.col("last").isin(*(F.col(f"v{i}") for i in range(2, k))))
+        out = out.unionByName(_closed(met.withColumnRenamed("last", f"v{k + 1}"), k + 1))
+    return out
+
+
+def _closed(cycles: DataFrame, length: int) -> DataFrame:
+    return cycles.select(F.concat_ws(" > ", *(f"v{i}" for i in range(1, length + 1))).alias("cycle"), F.lit(length).alias("length"))
 
 
 _MUTED = f"(conf = 'INFERRED' AND relation IN ('calls','uses') AND (coalesce({_family_sql('a')} <> {_family_sql('b')}, FALSE) OR ({_category_sql('a')} = 'code' AND {_category_sql('b')} = 'doc') OR ({_category_sql('a')} = 'doc' AND {_category_sql('b')} = 'code')))"

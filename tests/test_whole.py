@@ -1,6 +1,8 @@
 """Queries read their whole tables: rows that are not ASCII, and nulls, against brute force."""
 
+import itertools
 import math
+import random
 import re
 import unicodedata
 
@@ -67,3 +69,14 @@ def test_distances_of_eight_hops(spark, tmp_path):
     _graph(spark, tmp_path, star + [("c", "n01", "calls")] + [(f"n{i + 1:02}", f"n{i:02}", "calls") for i in range(1, 10)])
     want = {(h, 0) for h in "abc"} | {(f"{h}{i}", 1) for h in "abc" for i in range(4)} | {(f"n{i:02}", i) for i in range(1, 9)}
     assert _got(spark, tmp_path, "q09_distances") == want
+
+
+def test_import_cycles_of_up_to_five_files(spark, tmp_path):
+    rng = random.Random(7)
+    names = "abcdefgh"
+    links = {(a, b) for a in names for b in names if rng.random() < 0.33}
+    _graph(spark, tmp_path, [(a, b, "imports") for a, b in sorted(links)])
+    want = {(" > ".join(f"f/{x}.py" for x in c), n) for n in range(1, 6) for c in itertools.permutations(names, n) if c[0] == min(c) and all((c[i], c[(i + 1) % n]) in links for i in range(n))}
+    assert {n for _, n in want} == {1, 2, 3, 4, 5}
+    got = core_queries.queries()["q16_import_cycles"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
