@@ -54,18 +54,21 @@ def ignored(path: Column, lines: list[str]) -> Column:
     return out
 
 
-def follow(links: DataFrame, most: int = 32) -> DataFrame:
-    """(name, end, hops): where chains of (name, to) end; names in a cycle end nowhere and are left
-    out. Pointers are doubled, so that a chain of n links takes log2(n) rounds."""
-    state = cut(links.groupBy("name").agg(F.min("to").alias("to")).withColumn("hops", F.lit(1)))
-    for _ in range(most):
-        step = state.select(F.col("name").alias("to"), F.col("to").alias("next"), F.col("hops").alias("more"))
-        joined = state.join(step, "to", "left")
-        if joined.where("next is not null and hops < 1000000").limit(1).count() == 0:
-            break
-        state = cut(joined.select("name", F.coalesce("next", "to").alias("to"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
-    ends = state.join(state.select(F.col("name").alias("to")), "to", "left_anti")
-    return ends.select("name", F.col("to").alias("end"), "hops")
+def follow(links: DataFrame) -> DataFrame:
+    """(name, end, hops): all ends that chains of (name, to) reach, and the fewest links to each. An end
+    leads nowhere; names that lead only into cycles reach none and are left out. From the ends back,
+    each level joins the pairs found last with the links; pairs known before are cut out by an anti-join."""
+    links = cut(links.select("name", "to").where("name is not null and to is not null").distinct())
+    new = cut(links.join(links.select(F.col("name").alias("to")).distinct(), "to", "left_anti").select("name", F.col("to").alias("end"), F.lit(1).alias("hops")))
+    seen, level = new, 1
+    while not new.isEmpty():
+        level += 1
+        up = links.join(new.select(F.col("name").alias("to"), "end"), "to").select("name", "end").distinct()
+        new = cut(up.join(seen.select("name", "end"), ["name", "end"], "left_anti").withColumn("hops", F.lit(level)))
+        seen = seen.unionByName(new)
+        if level % 16 == 0:  # else the plan grows with the chains
+            seen = cut(seen)
+    return seen
 
 
 def nearest(owners: DataFrame, parents: DataFrame, members: DataFrame, most: int = 16) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 from tessera.functions.ids import label_key_text, normalize_id_text, search_form_text
+from tessera.operators import resolution
 from tessera.plans import core_queries
 
 LABELS = ["Cache", "Caché()", "cache()", "CACHÉ", "Straße", "STRASSE()", "Token größe", "ｃａｃｈｅ", "日本 graph", "über edge Node", "plain", "Plain()", "", None, "Café́", "einzig é"]
@@ -80,3 +81,9 @@ def test_import_cycles_of_up_to_five_files(spark, tmp_path):
     assert {n for _, n in want} == {1, 2, 3, 4, 5}
     got = core_queries.queries()["q16_import_cycles"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_chains_follow_all_links(spark):
+    links = [("a", "b"), ("a", "c"), ("b", "a"), ("c", "d"), ("c", "e"), ("e", "f"), ("x", "y"), ("y", "x"), ("x", "c"), ("l", "l"), ("a", "b")]
+    got = sorted(tuple(r) for r in resolution.follow(spark.createDataFrame(links, "name string, to string")).collect())
+    assert got == sorted([("c", "d", 1), ("c", "f", 2), ("e", "f", 1), ("a", "d", 2), ("a", "f", 3), ("b", "d", 3), ("b", "f", 4), ("x", "d", 2), ("x", "f", 3), ("y", "d", 3), ("y", "f", 4)])
