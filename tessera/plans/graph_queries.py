@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import label_key
 from tessera.operators import graph as g
 from tessera.operators import rules as r
 from tessera.operators import search as s
@@ -129,7 +130,9 @@ def test_paths(spark, d):
 
 @query("p13_entropy", "SELECT id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT id, ch, count(*)::DOUBLE AS c, any_value(len)::DOUBLE AS n FROM (SELECT id, length(id) AS len, unnest(string_split(id, '')) AS ch FROM shared_nodes) GROUP BY id, ch) GROUP BY id")
 def label_entropy(spark, d):
-    return read(spark, d, "shared_nodes").select("id", (r.entropy(F.col("id")) + 0.0).alias("entropy"))
+    labels = read(spark, d, "nodes").select("label").unionByName(read(spark, d, "shared_nodes").select("label"))
+    keys = labels.distinct().select(label_key(F.coalesce("label", F.lit(""))).alias("key")).distinct()
+    return keys.select("key", (r.entropy(F.col("key")) + 0.0).alias("entropy"))
 
 
 @query("p14_shingles", "SELECT id, count(DISTINCT g) AS shingles FROM (SELECT id, unnest(CASE WHEN length(label) < 3 THEN [label] ELSE list_transform(range(1, length(label) - 1), lambda i: substr(label, i, 3)) END) AS g FROM (SELECT DISTINCT id, label FROM nodes WHERE label <> '')) GROUP BY id")

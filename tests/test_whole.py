@@ -87,3 +87,12 @@ def test_chains_follow_all_links(spark):
     links = [("a", "b"), ("a", "c"), ("b", "a"), ("c", "d"), ("c", "e"), ("e", "f"), ("x", "y"), ("y", "x"), ("x", "c"), ("l", "l"), ("a", "b")]
     got = sorted(tuple(r) for r in resolution.follow(spark.createDataFrame(links, "name string, to string")).collect())
     assert got == sorted([("c", "d", 1), ("c", "f", 2), ("e", "f", 1), ("a", "d", 2), ("a", "f", 3), ("b", "d", 3), ("b", "f", 4), ("x", "d", 2), ("x", "f", 3), ("y", "d", 3), ("y", "f", 4)])
+
+
+def test_entropy_of_all_labels(spark, tmp_path):
+    labels = [*LABELS, "𠀀𠀁 𠀀", "Ab-ab_AB"]
+    _table(spark, tmp_path, [(i, f"n{i}", x, "code", None, None, "r", 1, None, None) for i, x in enumerate(labels)])
+    spark.createDataFrame([("s", "shared label"), ("t", None)], "id string, label string").coalesce(1).write.parquet(f"{tmp_path}/shared_nodes.parquet")
+    keys = {label_key_text(x or "") for x in [*labels, "shared label"]}
+    share = lambda k: [k.count(c) / len(k) for c in set(k)]
+    assert _got(spark, tmp_path, "p13_entropy") == {(k, round(abs(sum(p * math.log2(p) for p in share(k))), 6)) for k in keys}
