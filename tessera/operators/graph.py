@@ -78,6 +78,16 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return once.join(good.select("edge_id"), "edge_id", "left_anti")
 
 
+def same_topology(nodes: DataFrame, links: DataFrame, other_nodes: DataFrame, other_links: DataFrame) -> DataFrame:
+    """(same): whether two graphs have equal nodes and links, repeated ones counted, apart from communities and scores."""
+    faults = None
+    for a, b, keys in ((nodes, other_nodes, ("id", "label", "file_type", "source_file")), (links, other_links, ("source", "target", "relation", "confidence"))):
+        both = a.select(*keys, F.lit(1).alias("n")).unionByName(b.select(*keys, F.lit(-1).alias("n")))
+        both = both.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0").select("n")
+        faults = both if faults is None else faults.unionByName(both)
+    return faults.agg((F.count("*") == 0).alias("same"))
+
+
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(change, keys): rows only in the new or only in the old."""
     a, b = old.select(*keys).distinct(), new.select(*keys).distinct()

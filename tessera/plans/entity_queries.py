@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import communities, dedup
+from tessera.operators import communities, dedup, export
 from tessera.operators import graph as g
 from tessera.operators import rules as r
 from tessera.operators.search import searchable
@@ -114,8 +114,9 @@ def endpoint_communities(spark, d):
 
 @query("u09_same_topology", GRAPH + "SELECT (SELECT count(*) FROM (SELECT source, target, relation FROM e EXCEPT SELECT source, target, relation FROM (SELECT DISTINCT source, target, relation FROM e))) = 0 AS same")
 def same_topology(spark, d):
-    e = edges(spark, d).select("source", "target", "relation").distinct()
-    return g.diff(e, edges(spark, d), ["source", "target", "relation"]).agg((F.count("*") == 0).alias("same"))
+    n = nodes(spark, d)
+    e = g.linked_edges(read(spark, d, "edges").select("edge_id", "source", "target", "relation", "confidence"), n)
+    return g.same_topology(n, e, *export.read_node_link(export.node_link(n, e)))
 
 
 

@@ -172,8 +172,9 @@ def cypher(spark, d):
 
 @query("s20_node_link_round_trip", GRAPH + "SELECT id, label, file_type, coalesce(community, -1) AS community FROM n")
 def node_link(spark, d):
-    n, _ = export.read_node_link(export.node_link(nodes(spark, d), edges(spark, d)))
-    return n.select("id", "label", "file_type", F.coalesce("community", F.lit(-1)).alias("community"))
+    n, links = export.read_node_link(export.node_link(nodes(spark, d), edges(spark, d)))
+    n = n.select(F.lit("nodes").alias("part"), "id", "label", "file_type", "source_file", F.coalesce("community", F.lit(-1)).alias("community"))
+    return n.unionByName(links.select(F.lit("links").alias("part"), "source", "target", "relation", "confidence"), allowMissingColumns=True)
 
 
 @query("x02_links", "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"\\)\\]|]+')) AS url FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
