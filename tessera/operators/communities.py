@@ -1,45 +1,82 @@
-"""Community detection by rounds of modularity moves on the whole edge table.
+"""Community detection by modularity on the whole edge table, in levels.
 
-In a round every node of one colour class (by a hash of its id and the round) moves to the
-neighbouring community with the greatest modularity gain, ties to the smallest name; the other
-nodes stay, which keeps neighbours from swapping for ever. Sums per community and per (node,
-community) are partial aggregates, so that a hub's edges never meet in one task. Nodes without
-an edge are communities of their own. The result does not depend on the order of rows.
+In a level, the nodes of one colour class after the other (by a hash of the id and the cycle of
+turns) move to the neighbouring community with the greatest modularity gain, ties to the smallest
+name; the other nodes stay. A level ends when a full cycle of turns moves no node, or raises
+modularity by less than LEAST_RISE; then its communities become the nodes of the next level, until
+none merge. Sums per community and per (node, community) are partial aggregates, so that a hub's
+edges never meet in one task. Nodes without an edge are communities of their own. The result does
+not depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import both_ways, pairs
-from tessera.session import cut
+from tessera.session import stored
 
+#: Nodes of one class that move at once can undo each other's gain for ever, so a level also ends by this.
+LEAST_RISE = 1e-4
 
-def detect(nodes: DataFrame, edges: DataFrame, rounds: int = 12, colours: int = 2) -> DataFrame:
+
+def detect(nodes: DataFrame, edges: DataFrame, colours: int = 2) -> DataFrame:
     """(id, community): community is named by a node in it."""
-    links = cut(both_ways(pairs(edges)))
-    degrees = cut(links.groupBy("id").agg(F.count("*").cast("double").alias("k")))
-    total = degrees.agg(F.sum("k").alias("m")).first().m or 1.0
-    state = cut(degrees.select("id", "k", F.col("id").alias("community")))
-    for n in range(rounds):
-        mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
-        near = links.join(state.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.count("*").alias("into"))
-        options = near.join(mass, "community").join(state.select("id", "k", F.col("community").alias("now")), "id")
-        gain = F.col("into") - F.col("k") * (F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
-        best = options.withColumn("gain", F.round(gain, 9)).groupBy("id").agg(F.min_by(F.struct("community", "gain"), F.struct(-F.col("gain"), F.col("community"))).alias("to"), F.max(F.when(F.col("community") == F.col("now"), F.col("gain"))).alias("stay"))
-        alone = F.round(-F.col("k") * F.lit(0.0), 9)
-        moved = state.join(best, "id", "left")
-        turn = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(colours)) == 0
-        better = turn & (F.col("to.gain") > F.coalesce("stay", alone)) & (F.col("to.gain") > 0)
-        after = cut(moved.select("id", "k", F.when(better, F.col("to.community")).otherwise(F.col("community")).alias("community"), better.alias("moved")))
-        changed = after.where("moved").limit(1).count()
-        state = after.drop("moved")
-        if not changed and n >= 3:
+    links = stored(both_ways(pairs(edges)).withColumn("w", F.lit(1.0)))
+    members = None
+    while True:
+        state = settle(links, colours)
+        if state.where("id <> community").isEmpty():  # no two nodes of this level belong together
+            break
+        members = state if members is None else stored(members.withColumnRenamed("community", "at").join(state.withColumnRenamed("id", "at"), "at").select("id", "community"))
+        ends = links.join(state, "id").select("other", "w", F.col("community").alias("a")).join(state.select(F.col("id").alias("other"), F.col("community").alias("b")), "other")
+        links = stored(ends.groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")))
+    if members is None:
+        return nodes.select("id", F.col("id").alias("community"))
+    return nodes.select("id").join(members, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
+def settle(links: DataFrame, colours: int, least: float = LEAST_RISE) -> DataFrame:
+    """(id, community) of one level, by moves of single nodes over links (id, other, w) in both
+    directions, a community's own links being a link to itself."""
+    degrees = links.groupBy("id").agg(F.sum("w").alias("k"))
+    state = stored(degrees.select("id", "k", F.col("id").alias("community")))
+    total = state.agg(F.sum("k").alias("m")).first().m or 1.0
+    best, kept, n = _quality(links, state, total), state, 0
+    while True:
+        moves = 0
+        for colour in range(colours):  # in a cycle, each node has one turn
+            state = stored(_moved(links, state, total, F.pmod(F.xxhash64("id", F.lit(n)), F.lit(colours)) == colour))
+            moves += state.where("moved").count()
+            state = state.drop("moved")
+        n += 1
+        if not moves:
+            break
+        now = _quality(links, state, total)
+        if now > best:
+            rise, best, kept = now - best, now, state
+        if now < best or rise < least:
             break
-    names = state.groupBy("community").agg(F.min("id").alias("name"))
-    found = state.join(names, "community").select("id", F.col("name").alias("community"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    names = kept.groupBy("community").agg(F.min("id").alias("name"))
+    return stored(kept.join(names, "community").select("id", F.col("name").alias("community")))
+
+
+def _moved(links: DataFrame, state: DataFrame, total: float, turn: Column) -> DataFrame:
+    mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
+    near = links.where("id <> other").join(state.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("into"))
+    options = near.join(mass, "community").join(state.where(turn).select("id", "k", F.col("community").alias("now")), "id")
+    gain = F.col("into") - F.col("k") * (F.col("mass") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)) / total
+    best = options.withColumn("gain", F.round(gain, 9)).groupBy("id").agg(F.min_by(F.struct("community", "gain"), F.struct(-F.col("gain"), F.col("community"))).alias("to"), F.max(F.when(F.col("community") == F.col("now"), F.col("gain"))).alias("stay"))
+    better = F.coalesce((F.col("to.gain") > F.coalesce("stay", F.lit(0.0))) & (F.col("to.gain") > 0), F.lit(False))
+    return state.join(best, "id", "left").select("id", "k", F.when(better, F.col("to.community")).otherwise(F.col("community")).alias("community"), better.alias("moved"))
+
+
+def _quality(links: DataFrame, state: DataFrame, total: float) -> float:
+    """Modularity of a level's state."""
+    of = state.select("id", "community")
+    inside = links.join(of, "id").join(of.toDF("other", "c2"), "other").where("community = c2").agg(F.sum("w")).first()[0] or 0.0
+    return inside / total - (state.groupBy("community").agg(F.sum("k").alias("mass")).agg(F.sum(F.pow(F.col("mass") / total, F.lit(2)))).first()[0] or 0.0)
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:

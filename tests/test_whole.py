@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 from tessera.functions.ids import label_key_text, normalize_id_text, search_form_text
-from tessera.operators import export, resolution
+from tessera.operators import communities, export, resolution
 from tessera.plans import core_queries
 
 LABELS = ["Cache", "Caché()", "cache()", "CACHÉ", "Straße", "STRASSE()", "Token größe", "ｃａｃｈｅ", "日本 graph", "über edge Node", "plain", "Plain()", "", None, "Café́", "einzig é"]
@@ -109,3 +109,10 @@ def test_round_trip_keeps_links(spark, tmp_path, monkeypatch):
     for part in range(2):  # a reader that loses nodes or links is seen
         monkeypatch.setattr(export, "read_node_link", lambda lines, part=part: tuple(x.limit(1) if i == part else x for i, x in enumerate(whole(lines))))
         assert _got(spark, tmp_path, "u09_same_topology") == {(False,)}
+
+
+def test_communities_merge_in_levels(spark):
+    names = [f"v{i:02}" for i in range(64)]
+    nodes = spark.createDataFrame([(x,) for x in names], "id string")
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "source string, target string")
+    assert communities.modularity(edges, communities.detect(nodes, edges)) > 0.7
