@@ -132,10 +132,14 @@ def triples(spark, d):
 
 @query("p21_suffix_matches", "SELECT DISTINCT d.doc_id, s.source_file FROM documents d JOIN (SELECT DISTINCT source_file, regexp_replace(source_file, '^[^/]+/', '') AS tail FROM sources) s ON d.source_file = s.source_file OR d.source_file = s.tail")
 def suffix_matches(spark, d):
-    # a suffix bounded by slashes is an equality with one of the file's tails, so this stays an equi-join
+    # a suffix bounded by slashes is an equality with one of the other path's tails, so this stays an equi-join
     s = read(spark, d, "sources").select("source_file").distinct()
-    tails = s.select("source_file", F.explode(F.array("source_file", F.regexp_replace("source_file", "^[^/]+/", ""))).alias("path"))
-    return read(spark, d, "documents").select("doc_id", F.col("source_file").alias("path")).join(tails, "path").select("doc_id", "source_file").distinct()
+    docs = read(spark, d, "documents").select("doc_id", F.col("source_file").alias("path"))
+    parts = lambda c: F.split(c, "/")
+    tails = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/")))
+    shorter = docs.join(s.select("source_file", tails("source_file").alias("path")), "path").select("doc_id", "source_file")
+    longer = docs.where("path is not null").select("doc_id", tails("path").alias("source_file")).join(s, "source_file").select("doc_id", "source_file")
+    return shorter.unionByName(longer).distinct()
 
 
 PR = "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'dev' ELSE 'main' END AS base, CASE doc_id % 4 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'SUCCESS' ELSE CASE WHEN doc_id % 3 = 0 THEN 'FAILURE' ELSE 'NONE' END END AS ci, CASE doc_id % 5 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'CHANGES_REQUESTED' END AS review, doc_id % 13 = 0 AS draft, datediff('day', captured_at, TIMESTAMP '2026-01-01')::INT AS age, repo FROM documents WHERE lower(trim(source)) = 'pull_request'"

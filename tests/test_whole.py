@@ -116,3 +116,11 @@ def test_communities_merge_in_levels(spark):
     nodes = spark.createDataFrame([(x,) for x in names], "id string")
     edges = spark.createDataFrame(list(zip(names, names[1:])), "source string, target string")
     assert communities.modularity(edges, communities.detect(nodes, edges)) > 0.7
+
+
+def test_suffixes_of_either_path(spark, tmp_path):
+    files, paths = ["r/src/index/bind.py", "bind.py", "r/a.md"], ["bind.py", "index/bind.py", "x/r/a.md", "r/a.md", "dex/bind.py", "d.py", None]
+    spark.createDataFrame([(x,) for x in files], "source_file string").coalesce(1).write.parquet(f"{tmp_path}/sources.parquet")
+    spark.createDataFrame(list(enumerate(paths)), "doc_id long, source_file string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, f) for i, p in enumerate(paths) if p for f in files if p == f or p.endswith("/" + f) or f.endswith("/" + p)}
+    assert _got(spark, tmp_path, "p21_suffix_matches") == want
