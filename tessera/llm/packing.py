@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.present import latest, with_version
+from tessera.llm.present import latest, named, with_version
 from tessera.llm.ranks import ranked
+from tessera.session import cut
 
 CAPACITY = 20_000
 
@@ -76,9 +77,10 @@ def _plan(histogram: dict[int, int], capacity: int, most_room: bool) -> tuple[in
     return first, out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list]:
-    """The plan with fewer packs of the two. Most room first fills new packs only when none has room."""
-    return min((_plan(histogram, capacity, most_room) for most_room in (True, False)), key=lambda p: p[0])
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[int, list, str]:
+    """The plan with fewer packs of the two, and the name of its order; most room first on ties."""
+    plans = ((*_plan(histogram, capacity, most_room), name) for most_room, name in ((True, "most room first"), (False, "least room first")))
+    return min(plans, key=lambda p: p[0])
 
 
 def _slots(patterns: list) -> dict[int, np.ndarray]:
@@ -95,12 +97,12 @@ def _slots(patterns: list) -> dict[int, np.ndarray]:
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(source_file, start, end, chunk, place) of items (source_file, n)."""
-    sized = items.where("n is not null")
+    sized = cut(items.where("n is not null"))  # two narrow columns, so that contents are read once
     whole = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int")))
     parts = sized.select("source_file", "n", whole.alias("part")).select("source_file", (F.col("part") * capacity).cast("long").alias("start"), F.least(F.col("n").cast("long"), ((F.col("part") + 1) * capacity).cast("long")).alias("end"))
     parts = parts.withColumn("size", (F.col("end") - F.col("start")).cast("int"))
     histogram = {r.size: r.n for r in parts.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    _, patterns = plan(histogram, capacity)
+    _, patterns, _ = plan(histogram, capacity)
     slots = items.sparkSession.sparkContext.broadcast(_slots(patterns))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,5 +124,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(place, "source_file string, start long, end long, chunk long, place int")
 
 
-def pack_sources(sources: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(latest(with_version(sources, F.length("content").alias("n")), "n"), capacity)
+def sizes(sources: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(source_file, n): length of the present content of all files or, with `nodes`, of those that some node names."""
+    now = latest(with_version(sources, F.length("content").alias("n")), "n")
+    return now if nodes is None else named(now, nodes)
+
+
+def pack_sources(sources: DataFrame, capacity: int = CAPACITY, nodes: DataFrame | None = None) -> DataFrame:
+    return pack(sizes(sources, nodes), capacity)

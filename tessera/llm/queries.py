@@ -13,41 +13,40 @@ from tessera.session import read
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.handwritten import made
 
-    return made(read(spark, d, "sources"))
+    return made(read(spark, d, "sources"), read(spark, d, "nodes"))
 
 
 def p1_validation(spark: SparkSession, d: str) -> DataFrame:
-    """How the classifiers do on the repositories held out of the fit, against the first labels."""
-    from tessera.llm.handwritten import fit
+    """How each classifier does on the repositories held out of the fit, against the weak labels of its side."""
+    from tessera.llm.handwritten import validation
 
-    report = fit(read(spark, d, "sources"), hold_out=True)[1]
-    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{k} int" for k in report))
+    return spark.createDataFrame(validation(read(spark, d, "sources")), "side string, files int, labelled int, found int, both int")
 
 
 def p2_chunks(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.packing import pack_sources
 
-    return pack_sources(read(spark, d, "sources"))
+    return pack_sources(read(spark, d, "sources"), nodes=read(spark, d, "nodes"))
 
 
 def p2_fill(spark: SparkSession, d: str) -> DataFrame:
     """Number of chunks, characters, and the least number any packing could need."""
     from tessera.llm.packing import CAPACITY, pack_sources
 
-    chunks = pack_sources(read(spark, d, "sources")).groupBy("chunk").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
+    chunks = pack_sources(read(spark, d, "sources"), nodes=read(spark, d, "nodes")).groupBy("chunk").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
     return chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("chars"), F.ceil(F.sum("n") / CAPACITY).alias("bound"), F.max("n").alias("fullest"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.splitting import long_files
 
-    return long_files(read(spark, d, "sources"))
+    return long_files(read(spark, d, "sources"), nodes=read(spark, d, "nodes"))
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     from tessera.llm.splitting import split_sources
 
-    return split_sources(read(spark, d, "sources"))
+    return split_sources(read(spark, d, "sources"), nodes=read(spark, d, "nodes"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

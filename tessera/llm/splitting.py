@@ -33,19 +33,19 @@ _DEFINITION = re.compile(r"(?:export\s+|public\s+|private\s+|protected\s+|static
 _BREAK = re.compile(r"\r\n|\r|\n")
 
 
-def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, limit: int, overlap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the text may be cut, from 0 to its end, and their penalties."""
     spots: dict[int, float] = {}
     starts = [0, *(m.end() for m in _BREAK.finditer(text)), len(text)]
     blank = False
     for this, following in zip(starts, starts[1:]):
-        line = text[this : min(following, this + 200)]
+        line = text[this:following]
         if this:
             underlined = text[following : following + 4] in ("====", "----", "~~~~")
             grade = HEADING if (_HEADING.match(line) and line[0] in "#<") or underlined else DEFINITION if _DEFINITION.match(line.lstrip() if line[:4].isspace() is False else line) else PARAGRAPH if blank and line.strip() else LINE
             spots[this] = grade
         blank = not line.strip()
-    gap = max(1, min(GAP, limit // 4))
+    gap = max(1, min(GAP, limit // 4, limit - overlap))  # so that every run of what a piece can add holds a boundary
     lines = sorted({0, *spots, len(text)})
     for this, following in zip(lines, lines[1:]):
         at = this
@@ -62,7 +62,7 @@ def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """[start, end) of the pieces of a text longer than the limit."""
-    at, penalty = boundaries(text, limit)
+    at, penalty = boundaries(text, limit, overlap)
     fresh = limit - overlap  # what a piece after the first can add
     pieces = max(2, 1 + -(-(len(text) - limit) // fresh))
     even = len(text) / pieces
@@ -104,10 +104,11 @@ def pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
     return texts.select("source_file", "content").mapInArrow(cut, "source_file string, piece int, start long, end long, text string")
 
 
-def split_sources(sources: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    return pieces(present_texts(sources, limit), limit, overlap)
+def split_sources(sources: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, nodes: DataFrame | None = None) -> DataFrame:
+    """The pieces of all long files or, with `nodes`, of those that some node names."""
+    return pieces(present_texts(sources, limit, nodes), limit, overlap)
 
 
-def long_files(sources: DataFrame, limit: int = LIMIT) -> DataFrame:
+def long_files(sources: DataFrame, limit: int = LIMIT, nodes: DataFrame | None = None) -> DataFrame:
     """(source_file) of the files that had to be cut: those with a second piece."""
-    return split_sources(sources, limit).where("piece = 1").select("source_file")
+    return split_sources(sources, limit, nodes=nodes).where("piece = 1").select("source_file")

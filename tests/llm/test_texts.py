@@ -67,6 +67,22 @@ def test_pieces_cover_the_text(text, sizes):
     _check(text, *sizes)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab# \n\r=é", min_size=61, max_size=300), st.integers(1, 60), st.data())
+def test_pieces_of_any_limit_and_overlap(text, limit, data):
+    _check(text, limit, data.draw(st.integers(0, limit - 1)))
+
+
+@pytest.mark.parametrize("limit, overlap", [(12_000, 10_600), (1_000, 900), (1_000, 999)])
+def test_pieces_of_long_overlaps(limit, overlap):
+    _check("def f():\n    return 1\n\n" * 700, limit, overlap)
+
+
+def test_whole_lines_are_graded():
+    at, penalty = splitting.boundaries("a\n" + " " * 300 + "text\nnext\n", 1_000)
+    assert dict(zip(at.tolist(), penalty.tolist()))[307] == splitting.LINE
+
+
 def test_pieces_are_cut_where_they_should():
     part = "line of text that is here\n" * 30
     text = "# One\n" + part + "# Two\n" + part + "# Three\n" + part
@@ -80,7 +96,8 @@ def test_pieces_are_cut_where_they_should():
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=25))
 def test_plan_places_every_item(histogram):
-    count, patterns = packing.plan(histogram, 50)
+    count, patterns, order = packing.plan(histogram, 50)
+    assert order in ("most room first", "least room first")
     placed, packs = {}, 0
     for first, n, items in patterns:
         assert first == packs and sum(length * times for length, times in items) <= 50
