@@ -31,7 +31,11 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 #: Words whose ids are kept per worker; beyond, the store starts again. It never changes a result.
 KEPT_WORDS = 400_000
+#: The same for pairs of tokens.
+KEPT_PAIRS = 1_000_000
 _KEEP_UNDER = 64
+#: Ids in one batch of rows.
+MOST_IDS = 1 << 28
 
 
 # The public pattern, and what it is on ASCII texts, in the faster syntax of `re`.
@@ -101,6 +105,8 @@ class Encoder(dict):
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self._compatible(left, right)
         return known
 
@@ -215,10 +221,15 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
         encoder = encoder_of(*vocabulary.value)
         for b in batches:
             lists = [encoder.encode(t) for t in b[text].to_pylist()]
-            offsets = np.zeros(len(lists) + 1, np.int32)
+            offsets = np.zeros(len(lists) + 1, np.int64)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
-            values = np.fromiter(chain.from_iterable(lists), np.int32, count=int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([b[key], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[key, "ids"])
+            start = 0
+            while start < len(lists):  # a batch of lists has 32-bit offsets, so that very long ones are parted
+                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + MOST_IDS, side="right")) - 1)
+                values = np.fromiter(chain.from_iterable(lists[start:end]), np.int32, count=int(offsets[end] - offsets[start]))
+                part = pa.array((offsets[start : end + 1] - offsets[start]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b[key].slice(start, end - start), pa.ListArray.from_arrays(part, pa.array(values))], names=[key, "ids"])
+                start = end
 
     from pyspark.sql.types import StructField, StructType
 
