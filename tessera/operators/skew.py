@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import node_reference
+from tessera.session import cut
 
 
 def _sides(source: Column, target: Column, *rest: Column) -> Column:
@@ -52,12 +53,25 @@ def heavy_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(node_id, relation, out_degree, in_degree) of every id, counting distinct edges.
 
-    Repeated deliveries are dropped by edge_id first (a key of few rows), then spellings are
-    counted, and only distinct spellings are normalised and folded into ids. A null relation is
-    a relation of its own.
+    Repeated deliveries are dropped by edge_id on three 64-bit numbers per edge; counts are folded
+    by numbers, and named at the end from a table of one row per id. Ids whose numbers collide,
+    which a second hash shows, are counted by name instead. A null relation is a relation of its
+    own; an edge of which deliveries differ counts as its greatest.
     """
-    once = edges.groupBy("edge_id", "source", "target", "relation").agg(F.lit(1).alias("one"))
-    rows = once.select(_sides(F.col("source"), F.col("target"), F.col("relation")).alias("r")).select("r.*").where("key is not null")
-    spelled = rows.groupBy("key", "relation").agg(F.count(F.when(F.col("side") == "source", 1)).alias("o"), F.count(F.when(F.col("side") == "target", 1)).alias("i"))
-    named = spelled.withColumn("node_id", node_reference(F.col("key"))).where("node_id is not null")
-    return named.groupBy("node_id", "relation").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    named = edges.select("edge_id", "relation", node_reference(F.col("source")).alias("s"), node_reference(F.col("target")).alias("t"))
+    number = lambda name: F.when(F.col(name).isNotNull(), F.xxhash64(name)).alias(name)
+    once = named.select("edge_id", number("s"), number("t"), F.coalesce(F.xxhash64("relation"), F.lit(0).cast("long")).alias("r")).groupBy("edge_id").agg(*(F.max(c).alias(c) for c in "str"))
+    rows = once.select(_sides(F.col("s"), F.col("t"), F.col("r").alias("r")).alias("e")).select("e.*").where("key is not null")
+    folded = rows.groupBy("key", "r").agg(F.count_if(F.col("side") == "source").alias("out_degree"), F.count_if(F.col("side") == "target").alias("in_degree"))
+
+    # spellings are folded before they are normalised, so that a task passes each on once
+    spelled = edges.select(F.explode(F.array("source", "target")).alias("name")).where("name is not null").groupBy("name").agg(F.lit(1).alias("one"))
+    ids = spelled.select(node_reference(F.col("name")).alias("node_id")).where("node_id is not null").withColumn("key", F.xxhash64("node_id"))
+    names = cut(ids.groupBy("key").agg(F.min("node_id").alias("node_id"), (F.min(F.xxhash64("node_id", F.lit(1))) != F.max(F.xxhash64("node_id", F.lit(1)))).alias("shared")))
+    relations = edges.select("relation").distinct().withColumn("r", F.coalesce(F.xxhash64("relation"), F.lit(0).cast("long")))
+    out = folded.join(names.where("not shared").select("key", "node_id"), "key").join(relations, "r").select("node_id", "relation", "out_degree", "in_degree")
+    shared = [r.key for r in names.where("shared").select("key").collect()]  # two ids in about 2^32
+    if shared:
+        few = named.select("edge_id", _sides(F.col("s"), F.col("t"), F.col("relation").alias("relation")).alias("e")).select("edge_id", "e.*").where(F.xxhash64("key").isin(shared)).distinct()
+        out = out.unionByName(few.groupBy(F.col("key").alias("node_id"), "relation").agg(F.count_if(F.col("side") == "source").alias("out_degree"), F.count_if(F.col("side") == "target").alias("in_degree")))
+    return out

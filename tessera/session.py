@@ -30,27 +30,29 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the folder named by spark.checkpoint.dir, which all
-    executors share, so the rows survive the loss of an executor. Where the session names none, a
-    local session (as in tests) gets a temporary folder, a cluster one under its warehouse."""
-    _checkpoint_folder(df)
+    executors share, so the rows survive the loss of an executor. Where a session names none, a
+    local one (as in tests) gets a temporary folder; on a cluster this is an error."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As cut, but by Parquet files in that folder. A checkpoint keeps the plan's estimate of its size,
     which joins multiply, so that after some 20 rounds of joins with itself planning does not end."""
-    path = f"{_checkpoint_folder(df).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _checkpoint_folder(df: DataFrame) -> str:
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.startswith("local") and not context.master.startswith("local-cluster"):
             folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        context.setCheckpointDir(folder or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -91,10 +92,39 @@ def test_orphans_of_empty_tables(spark):
     assert {r.status for r in o.orphans(some, *empty[1:]).collect()} == {"missing"}
 
 
-def test_a_full_filter_only_lets_more_through(spark, monkeypatch):
+@pytest.mark.parametrize("most", [2, 1 << 20])
+def test_filters_within_and_beyond_what_is_broadcast(spark, monkeypatch, most):
     monkeypatch.setattr(o, "MIN_WORDS", 2)
-    monkeypatch.setattr(o, "MAX_WORDS", 2)
-    nodes = spark.createDataFrame([(f"n{i}", None, None, None) for i in range(300)], NODES)
-    edges = spark.createDataFrame([edge(i, f"n{i}", f"z{i}") for i in range(300)], EDGES)
+    monkeypatch.setattr(o, "MAX_WORDS", most)
+    nodes = spark.createDataFrame([(f"n{i}", None, None, None) for i in range(300)] + [("hub", None, None, None)], NODES)
+    edges = spark.createDataFrame([edge(i, f"n{i}" if i % 3 else "hub", f"z{i}" if i % 2 else "gone hub") for i in range(300)], EDGES)
     got = o.orphans(edges, nodes, spark.createDataFrame([], SHARED), spark.createDataFrame([], REMOVED)).collect()
     assert len(got) == 300 and {(r.side, r.status) for r in got} == {("target", "missing")}
+
+
+def test_few_orphans_pass_the_filter_at_any_size(spark):
+    for parents in (50, 3_000, 40_000):
+        words = o.words_for(parents)
+        keys = spark.range(parents).selectExpr("concat('k', id) as node_id")
+        bloom = o.bloom_filter(keys, "node_id", words)
+        probes = spark.range(20_000).selectExpr("concat('z', id) as node_id").unionByName(keys)
+        tested = probes.select("node_id", *o._word_and_mask("node_id", words)).join(bloom, "word", "left").selectExpr("substr(node_id, 1, 1) as kind", "coalesce(bits & mask = mask, false) as maybe")
+        passed = {r.kind: r.share for r in tested.groupBy("kind").agg({"maybe": "count"}).join(tested.where("maybe").groupBy("kind").count(), "kind", "left").selectExpr("kind", "coalesce(count, 0) / `count(maybe)` as share").collect()}
+        assert passed["k"] == 1.0 and passed["z"] < 0.02
+
+
+def test_often_captured_and_removed(spark):
+    hours = lambda n: DAY + timedelta(hours=n)
+    nodes = [("k", hours(20 * i), None, 1) for i in range(300)] * 2
+    removed = [("K", hours(20 * i + k), None) for i in range(300) for k in (5, 9)] + [("only", hours(50), None)] * 2 + [("k", hours(40), None)]
+    edges = [(i, "k", "only", "r", hours(3 * i - 10), "a", "b", 1) for i in range(2100)]
+    frames = [spark.createDataFrame(x, s) for x, s in ((edges, EDGES), (nodes, NODES), ([], SHARED), (removed, REMOVED))]
+    assert {tuple(r)[:3] for r in o.orphans(*frames).collect()} == _brute(edges, nodes, [], removed)
+
+
+def test_degrees_where_hashes_collide(spark, monkeypatch):
+    weak = skew.F.xxhash64
+    monkeypatch.setattr(skew.F, "xxhash64", lambda *c: weak(*c) if len(c) > 1 else weak(*c) % 3)
+    rows = [edge(i, f"n{i % 7}", f"n{i % 5}", rel="calls" if i % 2 else None) for i in range(70)]
+    got = {(r.node_id, r.relation): (r.out_degree, r.in_degree) for r in skew.degrees(spark.createDataFrame(rows, EDGES)).where("relation is null").collect()}
+    assert got == {(f"n{k}", None): (sum(i % 7 == k and i % 2 == 0 for i in range(70)), sum(i % 5 == k and i % 2 == 0 for i in range(70))) for k in range(7)}
