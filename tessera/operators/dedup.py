@@ -1,11 +1,12 @@
 """Entity resolution: a similarity join of labels, and the classes it leads to.
 
-The join works on distinct label keys (the class representatives); copies of a key are members
-of its class and never expanded into pairs. Candidates share one of BANDS MinHash bands over
-character trigrams; a pair is a link if its Jaro-Winkler similarity (Jaro for long labels of
-different files) reaches THRESHOLD and no guard forbids it. Within a band bucket only keys of
-compatible length meet (a similarity of 0.92 bounds the ratio of lengths by 0.6), by an equi-join on
-length classes, so that a bucket is not paired with all of itself.
+The join works on distinct label keys of a repository (the class representatives); copies of a key
+are members of its class and never expanded into pairs, and nothing is merged across repositories.
+Candidates share one of BANDS MinHash bands over character trigrams; a pair is a link if its
+Jaro-Winkler similarity reaches THRESHOLD and no guard forbids it. Within a band bucket only keys of
+the same repository, the same numbers and compatible length meet (a similarity of 0.92 bounds the
+ratio of lengths by 0.6), by an equi-join, so that a bucket is not paired with all of itself.
+Bands are of few rows, as labels of 0.92 Jaro-Winkler may share no more than half their trigrams.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import label_key
 from tessera.operators.rules import entropy
 from tessera.operators.search import components
+from tessera.session import cut
 
-# 128 permutations in 14 bands of 9 rows, trigrams, entropy gate and threshold.
-PERMUTATIONS, BANDS, ROWS, SHINGLE, MIN_ENTROPY, THRESHOLD, SHORT, LEAST_RATIO = 128, 14, 9, 3, 2.5, 0.92, 12, 0.6
+# Permutations, trigrams, entropy gate and threshold.
+PERMUTATIONS, SHINGLE, MIN_ENTROPY, THRESHOLD, SHORT, LEAST_RATIO = 128, 3, 2.5, 0.92, 12, 0.6
+#: Bands and rows of each: a pair of trigram similarity 0.4 meets with probability 0.94.
+BANDS, ROWS = 42, 3
 _PRIME = np.uint64((1 << 61) - 1)
 
 
@@ -90,33 +94,42 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def linked_keys(keys: DataFrame) -> DataFrame:
-    """(a, b) of distinct keys that are alike, a < b."""
+    """(repo, a, b) of the distinct (repo, key) that are alike, a < b."""
     from pyspark.sql.types import DoubleType
 
     _similar.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
     similar = F.arrow_udf(_similar, DoubleType())
-    gated = keys.where("key <> ''").select("key").distinct().where(entropy(F.col("key")) >= MIN_ENTROPY)
-    spread = bands(gated).withColumn("size", F.floor(F.log(F.length("key")) / float(-np.log(LEAST_RATIO))).cast("int"))
-    near = spread.select("band", F.col("key").alias("b"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
-    met = spread.select("band", "size", F.col("key").alias("a")).join(near, ["band", "size"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
+    gated = keys.where("key <> ''").select(F.coalesce("repo", F.lit("")).alias("repo"), "key").distinct().where(entropy(F.col("key")) >= MIN_ENTROPY)
+    numbers = F.array_join(F.array_sort(F.regexp_extract_all("key", F.lit("[0-9]+"), F.lit(0))), " ")
+    sized = gated.select("repo", "key", numbers.alias("numbers"), F.floor(F.log(F.length("key")) / float(-np.log(LEAST_RATIO))).cast("int").alias("size"))
+    spread = bands(gated.select("key").distinct()).join(sized, "key")
+    on = ["repo", "numbers", "band", "size"]
+    near = spread.select("repo", "numbers", "band", F.col("key").alias("b"), F.explode(F.array("size", F.col("size") - 1)).alias("size"))
+    met = spread.select(*on, F.col("key").alias("a")).join(near, on).where("a <> b").select("repo", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    scored = met.where(allowed(F.col("a"), F.col("b"))).withColumn("like", similar(F.col("a"), F.col("b")))
     short = F.least(F.length("a"), F.length("b")) < SHORT
-    extends = F.col("b").startswith(F.col("a"))
-    allowed = (numbers(F.col("a")) == numbers(F.col("b"))) & ~extends & (~short | ((F.length("a") == F.length("b")) & (F.levenshtein("a", "b") <= 1)))
-    scored = met.where(allowed).withColumn("like", similar(F.col("a"), F.col("b")))
-    return scored.where((F.col("like") >= THRESHOLD) & (~short | (F.col("like") >= 0.97))).select("a", "b")
+    return scored.where((F.col("like") >= THRESHOLD) & (~short | (F.col("like") >= 0.97))).select("repo", "a", "b")
+
+
+def allowed(a: Column, b: Column) -> Column:
+    """Whether no guard forbids to link two keys of equal numbers, a < b: one must not extend the other,
+    and short ones may differ in one character only."""
+    short = F.least(F.length(a), F.length(b)) < SHORT
+    return ~b.startswith(a) & (~short | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b) <= 1)))
 
 
 def entities(nodes: DataFrame) -> DataFrame:
-    """(id, entity, links): for each node that is no code, its class (the smallest key) and the
-    number of other keys that its own key is linked to. Nodes without a key are their own class."""
-    keyed = nodes.where("coalesce(file_type, '') <> 'code'").select("id", F.coalesce(label_key(F.col("label")), F.lit("")).alias("key"))
-    pairs = linked_keys(keyed.select("key"))
-    from tessera.session import cut
-
-    pairs = cut(pairs)
-    classes = components(pairs)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    out = keyed.join(classes.withColumnRenamed("id", "key"), "key", "left").join(degree, "key", "left")
-    own = F.when(F.col("key") == "", F.col("id")).otherwise(F.coalesce("component", "key"))
+    """(id, entity, links): for each node that is no code, its class (the smallest key in its repository)
+    and the number of other keys that its own key is linked to. Nodes without a key are their own class;
+    those without a repository form one together."""
+    repo = F.coalesce("repo", F.lit("")) if "repo" in nodes.columns else F.lit("")
+    keyed = nodes.where("coalesce(file_type, '') <> 'code'").select("id", repo.alias("repo"), F.coalesce(label_key(F.col("label")), F.lit("")).alias("key"))
+    pairs = cut(linked_keys(keyed.select("repo", "key")))
+    name = lambda c: F.concat_ws("\x00", "repo", c)
+    classes = components(pairs.select(name("a").alias("a"), name("b").alias("b")))
+    degree = pairs.select("repo", F.explode(F.array("a", "b")).alias("key")).groupBy("repo", "key").agg(F.count("*").alias("links"))
+    out = keyed.withColumn("name", name("key")).join(classes.withColumnRenamed("id", "name"), "name", "left").join(degree, ["repo", "key"], "left")
+    whole = F.coalesce("component", "name")
+    of, key = F.substring_index(whole, "\x00", 1), F.substring_index(whole, "\x00", -1)
+    own = F.when(F.col("key") == "", F.col("id")).when(of == "", key).otherwise(F.concat_ws("::", of, key))
     return out.select("id", own.alias("entity"), F.coalesce("links", F.lit(0)).alias("links"))

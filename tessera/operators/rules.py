@@ -11,7 +11,24 @@ from tessera.functions.ids import folded
 SYNONYMS = {"markdown": "document", "text": "document", "tool": "code", "library": "code"}
 FILE_TYPES = ("code", "document", "paper", "image", "rationale", "concept")
 NOISE_LABELS = "str int float bool bytes bytearray complex object True False MagicMock Mock AsyncMock NonCallableMock NonCallableMagicMock PropertyMock patch sentinel Path Any Optional List Dict Set Tuple Union Callable Type ClassVar Final Literal Protocol Counter defaultdict OrderedDict datetime Enum os sys re json io abc typing".split()
-FAMILIES = {"python": "py pyw", "js": "js jsx mjs cjs ejs ts tsx mts cts vue svelte", "go": "go", "rust": "rs", "jvm": "java kt kts scala", "c": "c h cpp cc cxx hpp"}
+FAMILIES = {
+    "python": "py pyw",
+    "js": "js jsx mjs cjs ejs ts tsx mts cts vue svelte",
+    "go": "go",
+    "rust": "rs",
+    "jvm": "java kt kts scala",
+    "c": "c h cpp cc cxx hpp",
+    "ruby": "rb rake",
+    "swift": "swift",
+    "dotnet": "cs",
+    "php": "php",
+    "r": "r",
+}
+JSON_NOISE = "start end name id type properties value key data items title description version dependencies devdependencies peerdependencies optionaldependencies bundleddependencies bundledependencies".split()
+FILE_LABELS = (".py", ".js", ".ts", ".tsx", ".java", ".go", ".rs")
+MODULE_LABELS = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".kt", ".rb", ".php", ".cs", ".swift", ".vue", ".svelte")
+RELATION_WORDS = {"imports_from": "imports", "rationale_for": "explains", "conceptually_related_to": "relates", "participate_in": "joins", "form": "forms"}
+STATUS_ORDER = ("WRONG-BASE", "CI-FAIL", "CHANGES-REQ", "DRAFT", "STALE", "APPROVED", "PENDING", "READY")
 CODE = "py pyw js jsx mjs cjs ts tsx go rs java kt kts scala c h cpp cc cxx hpp rb cs php swift lua sh json"
 
 
@@ -149,3 +166,54 @@ def url_kind(url: Column) -> Column:
 
 def path_match(a: Column, b: Column) -> Column:
     return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
+
+
+def callable_name(label: Column) -> Column:
+    """The key under which calls are resolved."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.btrim(label), r"^[()]+|[()]+$", ""), r"^\.+", ""))
+
+
+def is_resolvable(file_type: Column, label: Column) -> Column:
+    text = F.btrim(F.coalesce(label, F.lit("")))
+    names_file = F.lit(False)
+    for end in FILE_LABELS:
+        names_file = names_file | text.endswith(end)
+    return F.coalesce(file_type == "code", F.lit(False)) & ~names_file & (callable_name(text) != "")
+
+
+def is_json_key(source_file: Column, label: Column) -> Column:
+    return F.coalesce(F.lower(source_file).endswith(".json") & F.lower(F.btrim(label)).isin(JSON_NOISE), F.lit(False))
+
+
+def node_kind(node_id: Column, label: Column, source_file: Column, kind: Column) -> Column:
+    """Class of a node in diagrams."""
+    raw, file = F.coalesce(label, F.lit("")), F.lower(F.coalesce(source_file, F.lit("")))
+    low = F.lower(F.when(raw == "", F.coalesce(node_id, F.lit(""))).otherwise(raw))
+    has = lambda *words: low.rlike("|".join(words))
+    ends = lambda c, suffixes: c.rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
+    return (
+        F.when(F.lower(F.coalesce(kind, F.lit(""))).isin("rationale", "document"), "concept")
+        .when(file.contains("test") | low.startswith("test_") | file.contains("spec"), "test")
+        .when(has("endpoint", "router", "api", "route"), "api")
+        .when(has("cli", "command", "click", "typer"), "entry")
+        .when(has("async", "await", "stream", "sse"), "async")
+        .when(has("component", "props", "hook", "store") | raw.rlike("^use[A-Z_-]") | ends(file, (".tsx", ".jsx", ".vue", ".svelte")), "ui")
+        .when(raw.rlike("^[A-Z]") & ~raw.endswith("()"), "klass")
+        .when(ends(raw, MODULE_LABELS), "module")
+        .otherwise("function")
+    )
+
+
+def relation_word(relation: Column) -> Column:
+    text = F.btrim(F.coalesce(relation, F.lit("")))
+    out = F.replace(text, F.lit("_"), F.lit(" "))
+    for name, word in RELATION_WORDS.items():
+        out = F.when(text == name, word).otherwise(out)
+    return out
+
+
+def is_public_url(url: Column) -> Column:
+    """http or https, and a host that is neither local nor a private address."""
+    host = F.lower(F.coalesce(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+    local = host.rlike(r"^(localhost|.*\.localhost|.*\.local|metadata\.google\.internal)$|^(127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.")
+    return F.coalesce((host != "") & ~local, F.lit(False))

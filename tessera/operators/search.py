@@ -13,8 +13,20 @@ from tessera.session import cut
 
 # Question and filler words that seed no search.
 STOPWORDS = frozenset(
-    "how what why when where which who whom whose does did is are was were be been being can could should would will shall may might must has have had the and but not for from with without into onto off that this these those there here its their them they about any all some work works working"
-    " der die das den dem ein eine und oder nicht wie wer wann wo warum wieso welche welcher welches ist sind wird wurde hat haben kann können soll muss sich bei mit von für über nach aus gibt es".split()
+    # English
+    "how what why when where which who whom whose does did is are was were be been being can could should would will shall may might must has have had the and but not for from with"
+    " without into onto off that this these those there here its their them they about any all some work works working"
+    # German
+    " der die das den dem ein eine und oder nicht wie wer wann wo warum wieso welche welcher welches ist sind wird wurde hat haben kann koennen können soll muss sich"
+    " bei mit von fuer für ueber über nach aus gibt es funktioniert geaendert geändert aendert ändert"
+    # French
+    " pourquoi quand quel quelle quels quelles quoi qui que est sont fonctionne cette dans avec où"
+    # Spanish
+    " cómo como qué cuál cuáles cuándo dónde donde porque por para funciona está están hay"
+    # Portuguese
+    " qual quais quando onde são estão tem uma não"
+    # Italian
+    " perché cosa quale quali dove funziona sono che della".split()
 )
 EXACT, PREFIX, FULL_EXACT, FULL_PREFIX, SOURCE = 1000.0, 100.0, 10000.0, 1000.0, 0.5
 
@@ -118,11 +130,11 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return out.unionByName(edges.where(F.col("target") == node).select(F.lit("in").alias("direction"), F.col("source").alias("id"), "relation")).distinct()
 
 
-def components(simple: DataFrame, rounds: int = 40) -> DataFrame:
+def components(simple: DataFrame) -> DataFrame:
     """(id, component) of pairs (a, b): smallest id reachable. Alternates large and small stars,
     so that the number of rounds grows with the logarithm of the diameter."""
     links = cut(simple.select("a", "b").where("a <> b").distinct())
-    for _ in range(rounds):
+    while True:
         out = both_ways(links)
         least = out.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("m"))
         large = out.join(least, "id").where("other > id").select(F.col("m").alias("a"), F.col("other").alias("b")).where("a <> b").distinct()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import orphans as o
+from tessera.plans import build_queries as _build_queries  # noqa: F401
 from tessera.plans import entity_queries as _entity_queries  # noqa: F401
 from tessera.plans import graph_queries as _graph_queries  # noqa: F401  (fills the registry)
 from tessera.plans import more_queries as _more_queries  # noqa: F401

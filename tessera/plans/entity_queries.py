@@ -8,11 +8,14 @@ from tessera.operators import communities, dedup, export
 from tessera.operators import graph as g
 from tessera.operators import rules as r
 from tessera.operators.search import searchable
-from tessera.plans.graph_queries import SIDES, edges, nodes, with_files
+from tessera.plans.graph_queries import REAL, SIDES, cohesion, edges, nodes, with_files
 from tessera.plans.registry import GRAPH, query
 from tessera.session import read
 
 
+FILE_NODE = REAL.split(" AND NOT (coalesce(source_file")[0]
+
+
 @query("j12_entities")
 def entities(spark, d):
     return dedup.entities(nodes(spark, d))
@@ -23,21 +26,21 @@ def detected(spark, d):
     return communities.detect(nodes(spark, d), edges(spark, d))
 
 
-@query("p02_label_keys", "SELECT DISTINCT trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS key FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]')")
+@query("p02_label_keys")
 def label_keys(spark, d):
     from tessera.functions.ids import label_key
 
     return read(spark, d, "nodes").where("label is not null").select(label_key(F.col("label")).alias("key")).distinct()
 
 
-@query("p01_normal_ids", "SELECT DISTINCT trim(regexp_replace(lower(id), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM nodes WHERE id IS NOT NULL AND NOT regexp_matches(id, '[^\\x00-\\x7f]')")
+@query("p01_normal_ids")
 def normal_ids(spark, d):
     from tessera.functions.ids import normalize_id
 
     return read(spark, d, "nodes").where("id is not null").select(normalize_id(F.col("id")).alias("id")).distinct()
 
 
-@query("q05_find_node", "WITH n AS (SELECT DISTINCT id, lower(label) AS t, lower(source_file) AS f FROM nodes WHERE id IS NOT NULL AND NOT regexp_matches(coalesce(label,''), '[^\\x00-\\x7f]')) SELECT DISTINCT id, tier FROM (SELECT id, CASE WHEN f = 'cache' THEN 0 WHEN t = 'cache' THEN 1 WHEN starts_with(t, 'cache') THEN 2 WHEN contains(t, 'cache') THEN 3 END AS tier FROM n) WHERE tier IS NOT NULL")
+@query("q05_find_node")
 def find_node(spark, d):
     n = searchable(read(spark, d, "nodes").where("id is not null")).select("id", F.col("norm").alias("t"), F.col("file").alias("f"))
     tier = F.when(F.col("f") == "cache", 0).when(F.col("t") == "cache", 1).when(F.col("t").startswith("cache"), 2).when(F.col("t").contains("cache"), 3)
@@ -54,18 +57,31 @@ def article_neighbours(spark, d):
     return g.top_k(near, ["hub", "relation"], [F.desc("degree"), F.col("other")], 20).select("hub", "relation", "other", F.col("rank").cast("long").alias("place"))
 
 
-@query("q20_questions", SIDES + f""", q AS (SELECT 1 AS generator, edge_id::VARCHAR AS subject FROM w WHERE conf = 'AMBIGUOUS' UNION ALL SELECT 2, id FROM deg WHERE degree >= 20
- UNION ALL SELECT 3, n.id FROM n LEFT JOIN deg USING (id) WHERE degree IS NULL) SELECT generator, count(*) AS n, min(subject) AS first FROM q GROUP BY generator""")
+@query("q20_questions", SIDES + f""", a AS (SELECT n.id, n.label, n.source_file, n.file_type, coalesce(degree, 0) AS degree FROM n LEFT JOIN deg USING (id)),
+t AS (SELECT id FROM a WHERE {FILE_NODE} ORDER BY degree DESC, id LIMIT 5),
+v AS (SELECT t.id FROM t JOIN w ON (w.source = t.id OR w.target = t.id) AND conf = 'INFERRED' GROUP BY t.id HAVING count(*) >= 2),
+i AS (SELECT x.community, count(*) AS inside FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE x.community = y.community GROUP BY 1),
+c AS (SELECT community FROM (SELECT community, count(*) AS m FROM n WHERE community IS NOT NULL GROUP BY community) LEFT JOIN i USING (community) WHERE m >= 5 AND coalesce(inside, 0) / (m * (m - 1) / 2.0) < 0.15),
+q AS (SELECT 1 AS generator, edge_id::VARCHAR AS subject FROM w WHERE conf = 'AMBIGUOUS' UNION ALL SELECT 2, id FROM deg WHERE degree >= 20 UNION ALL SELECT 3, id FROM v
+ UNION ALL SELECT 4, id FROM a WHERE degree <= 1 AND {REAL} AND coalesce(file_type, '') <> 'rationale' UNION ALL SELECT 5, community::VARCHAR FROM c) SELECT generator, count(*) AS n, min(subject) AS first FROM q GROUP BY generator""")
 def questions(spark, d):
+    """Unclear edges, bridges (by degree), much-linked nodes with inferred edges, loose nodes, communities of low cohesion."""
     e, n = with_files(spark, d), nodes(spark, d)
-    deg = g.degree(edges(spark, d))
-    unsure = e.where("conf = 'AMBIGUOUS'").select(F.lit(1).alias("generator"), F.col("edge_id").cast("string").alias("subject"))
-    bridges = deg.where("degree >= 20").select(F.lit(2).alias("generator"), F.col("id").alias("subject"))
-    alone = n.join(deg, "id", "left_anti").select(F.lit(3).alias("generator"), F.col("id").alias("subject"))
-    return unsure.unionByName(bridges).unionByName(alone).groupBy("generator").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
-
-
-@query("q22_sections", "WITH k AS (SELECT * FROM (VALUES ('storage','cache'),('storage','store'),('parsing','parse'),('parsing','token'),('graph','graph'),('graph','edge'),('graph','node')) t(section, word)), n AS (SELECT DISTINCT id, lower(label) AS t FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]')), s AS (SELECT id, section, count(*) AS hits FROM n JOIN k ON contains(t, word) GROUP BY id, section) SELECT id, section FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, section) AS rk FROM s) WHERE rk = 1")
+    rows = n.join(g.degree(edges(spark, d)), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    subject = lambda df, k, c: df.select(F.lit(k).alias("generator"), F.col(c).cast("string").alias("subject"))
+    unsure = subject(e.where("conf = 'AMBIGUOUS'"), 1, "edge_id")
+    bridges = subject(rows.where("degree >= 20"), 2, "id")
+    file_node = r.is_file_node(F.col("label"), F.col("source_file"), F.col("degree"))
+    top = rows.where(~file_node).orderBy(F.desc("degree"), "id").limit(5).select("id")
+    ends = F.explode(F.array_distinct(F.array("source", "target"))).alias("id")
+    doubted = e.where("conf = 'INFERRED'").select(ends).join(F.broadcast(top), "id", "left_semi").groupBy("id").agg(F.count("*").alias("k")).where("k >= 2")  # five nodes
+    loose = rows.where((F.col("degree") <= 1) & ~file_node & ~r.is_concept_node(F.col("source_file")) & (F.coalesce("file_type", F.lit("")) != "rationale"))
+    thin = cohesion(spark, d).where("n >= 5 and cohesion < 0.15")
+    out = unsure.unionByName(bridges).unionByName(subject(doubted, 3, "id")).unionByName(subject(loose, 4, "id")).unionByName(subject(thin, 5, "community"))
+    return out.groupBy("generator").agg(F.count("*").alias("n"), F.min("subject").alias("first"))
+
+
+@query("q22_sections", "WITH k AS (SELECT * FROM (VALUES ('storage','cache'),('storage','store'),('parsing','parse'),('parsing','token'),('graph','graph'),('graph','edge'),('graph','node')) t(section, word)), n AS (SELECT DISTINCT id, lower(label) AS t FROM nodes WHERE label IS NOT NULL), s AS (SELECT id, section, count(*) AS hits FROM n JOIN k ON contains(t, word) GROUP BY id, section) SELECT id, section FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, section) AS rk FROM s) WHERE rk = 1")
 def sections(spark, d):
     words = {"storage": ["cache", "store"], "parsing": ["parse", "token"], "graph": ["graph", "edge", "node"]}
     n = read(spark, d, "nodes").where("label is not null").select("id", F.lower("label").alias("t")).distinct()
@@ -121,10 +137,10 @@ def same_topology(spark, d):
 
 
 
-RULES = ["*.rst", "tools/", "!tools/keep.py", "/nothing", "**/auth/**"]
+RULES = ["*.rst", "tools/", "!tools/keep.py", "/nothing", "**/auth/**", "*.go", "!**/load_*.go"]
 
 
-@query("s05_ignored", "SELECT DISTINCT source_file FROM sources WHERE regexp_matches(source_file, '\\.rst$') OR contains(source_file, '/tools/') OR contains(source_file, '/auth/')")
+@query("s05_ignored", "SELECT DISTINCT source_file FROM sources WHERE regexp_matches(source_file, '\\.rst$') OR regexp_matches(source_file, '(^|/)tools/.') OR regexp_matches(source_file, '^nothing(/|$)') OR regexp_matches(source_file, '(^|/)auth/.') OR (regexp_matches(source_file, '\\.go$') AND NOT regexp_matches(source_file, '(^|/)load_[^/]*\\.go$'))")
 def ignored_files(spark, d):
     from tessera.operators.resolution import ignored
 
@@ -139,14 +155,14 @@ def budget(spark, d):
     return within_budget(top.withColumn("line", F.col("id")), [F.desc("degree"), F.col("id")], 3000).select("id", "upto")
 
 
-@query("q11_resolve_seed", GRAPH + ", k AS (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, min(id) AS id, count(*) AS c FROM n WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]') GROUP BY 1) SELECT name, CASE WHEN c = 1 THEN id END AS id FROM k")
+@query("q11_resolve_seed")
 def resolve_seed(spark, d):
     n = nodes(spark, d).where("label is not null")
     by = n.groupBy(r.bare_label(F.col("label")).alias("name")).agg(F.min("id").alias("id"), F.count("*").alias("c"))
     return by.select("name", F.when(F.col("c") == 1, F.col("id")).alias("id"))
 
 
-@query("j17_import_chains")
+@query("q10_import_chains")
 def import_chains(spark, d):
     from tessera.operators.resolution import follow
 

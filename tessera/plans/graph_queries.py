@@ -128,17 +128,17 @@ def test_paths(spark, d):
     return read(spark, d, "sources").where(r.is_test_path(F.col("source_file"))).select("scan_id")
 
 
-@query("p13_entropy", "SELECT id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT id, ch, count(*)::DOUBLE AS c, any_value(len)::DOUBLE AS n FROM (SELECT id, length(id) AS len, unnest(string_split(id, '')) AS ch FROM shared_nodes) GROUP BY id, ch) GROUP BY id")
+@query("p13_entropy")
 def label_entropy(spark, d):
     labels = read(spark, d, "nodes").select("label").unionByName(read(spark, d, "shared_nodes").select("label"))
     keys = labels.distinct().select(label_key(F.coalesce("label", F.lit(""))).alias("key")).distinct()
     return keys.select("key", (r.entropy(F.col("key")) + 0.0).alias("entropy"))
 
 
-@query("p14_shingles", "SELECT id, count(DISTINCT g) AS shingles FROM (SELECT id, unnest(CASE WHEN length(label) < 3 THEN [label] ELSE list_transform(range(1, length(label) - 1), lambda i: substr(label, i, 3)) END) AS g FROM (SELECT DISTINCT id, label FROM nodes WHERE label <> '')) GROUP BY id")
+@query("p14_shingles", "SELECT label, len(list_distinct(CASE WHEN length(label) < 3 THEN [label] ELSE list_transform(range(1, length(label) - 1), lambda i: substr(label, i, 3)) END))::BIGINT AS shingles FROM (SELECT DISTINCT label FROM nodes WHERE label <> '')")
 def shingle_counts(spark, d):
-    lab = read(spark, d, "nodes").where("label <> ''").select("id", "label").distinct()
-    return lab.select("id", F.explode(r.shingles(F.col("label"))).alias("g")).groupBy("id").agg(F.countDistinct("g").alias("shingles"))
+    labels = read(spark, d, "nodes").where("label <> ''").select("label").distinct()
+    return labels.select("label", F.size(r.shingles(F.col("label"))).cast("long").alias("shingles"))
 
 
 @query("p15_content_hashes", "SELECT scan_id, md5(content) AS md5, sha256(content) AS sha FROM sources")
@@ -146,10 +146,12 @@ def content_hashes(spark, d):
     return read(spark, d, "sources").select("scan_id", F.md5(F.encode("content", "UTF-8")).alias("md5"), F.sha2(F.encode("content", "UTF-8"), 256).alias("sha"))
 
 
-@query("p16_community_signatures", GRAPH + "SELECT community, left(sha256(string_agg(id || chr(1), '' ORDER BY id)), 16) AS signature, count(*) AS size FROM n WHERE community IS NOT NULL GROUP BY community")
+@query("p16_community_signatures", GRAPH + "SELECT community, sum(('0x' || substr(md5(id), 1, 15))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(md5(id), 16, 15))::BIGINT)::VARCHAR AS signature, count(*) AS size FROM n WHERE community IS NOT NULL GROUP BY community")
 def signatures(spark, d):
-    sig = F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list("id")), "\x01"), F.lit("\x01")), 256)
-    return nodes(spark, d).where("community is not null").groupBy("community").agg(F.substring(sig, 1, 16).alias("signature"), F.count("*").alias("size"))
+    """A fingerprint of each community's set of members: sums of two halves of the members' hashes, which
+    unlike a hash of the sorted members are partial aggregates."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(F.encode("id", "UTF-8")), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return nodes(spark, d).where("community is not null").groupBy("community").agg(F.concat_ws("-", half(1), half(16)).alias("signature"), F.count("*").alias("size"))
 
 
 @query("p17_tokens", "SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens FROM documents WHERE text IS NOT NULL")
@@ -157,7 +159,7 @@ def tokens(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", r.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("p19_bare_names", "SELECT seq, regexp_replace(lower(label), '\\(\\)$', '') AS bare FROM nodes WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')")
+@query("p19_bare_names")
 def bare_names(spark, d):
     return read(spark, d, "nodes").select("seq", r.bare_label(F.col("label")).alias("bare"))
 
@@ -264,7 +266,7 @@ def thin(spark, d):
     return nodes(spark, d).where("community is not null").groupBy("community").agg(F.count("*").alias("n")).where("n < 40")
 
 
-@query("g16_idf", "WITH n AS (SELECT DISTINCT label FROM nodes WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')), t AS (SELECT unnest(['graph','token','cache','buffer']) AS term) SELECT term, count(*) FILTER (contains(lower(label), term)) AS df, round(ln(1 + count(*) / (1.0 + count(*) FILTER (contains(lower(label), term)))), 9) AS idf FROM n, t GROUP BY term")
+@query("g16_idf")
 def idf(spark, d):
     n = read(spark, d, "nodes").select("label").distinct().withColumn("source_file", F.lit(""))
     return s.idf(n, ["graph", "token", "cache", "buffer"])
@@ -336,7 +338,9 @@ def sample_labels(spark, d):
 
 @query("q16_import_cycles", SIDES + """, f AS (SELECT DISTINCT a, b FROM w WHERE relation IN ('imports','imports_from','re_exports') AND a IS NOT NULL AND b IS NOT NULL)
 SELECT a AS cycle, 1 AS length FROM f WHERE a = b UNION ALL SELECT x.a || ' > ' || x.b, 2 FROM f x JOIN f y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b
-UNION ALL SELECT x.a || ' > ' || x.b || ' > ' || y.b, 3 FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b""")
+UNION ALL SELECT x.a || ' > ' || x.b || ' > ' || y.b, 3 FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b
+UNION ALL SELECT x.a || ' > ' || x.b || ' > ' || y.b || ' > ' || z.b, 4 FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = y.b JOIN f u ON u.a = z.b AND u.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b <> y.b AND x.b <> z.b AND y.b <> z.b
+UNION ALL SELECT x.a || ' > ' || x.b || ' > ' || y.b || ' > ' || z.b || ' > ' || u.b, 5 FROM f x JOIN f y ON y.a = x.b JOIN f z ON z.a = y.b JOIN f u ON u.a = z.b JOIN f v ON v.a = u.b AND v.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.a < u.b AND x.b <> y.b AND x.b <> z.b AND x.b <> u.b AND y.b <> z.b AND y.b <> u.b AND z.b <> u.b""")
 def import_cycles(spark, d):
     f = file_graph(spark, d)
     one = f.where("a = b").select(F.col("a").alias("cycle"), F.lit(1).alias("length"))
@@ -403,10 +407,13 @@ def repo_prefix(spark, d):
     return nodes(spark, d).where("repo is not null").select(F.concat_ws("::", "repo", "id").alias("id"), F.col("id").alias("local_id"), "repo")
 
 
-@query("u06_overlap", "WITH o AS (SELECT id, min(community) AS c FROM nodes WHERE community IS NOT NULL GROUP BY id), w AS (SELECT id, max(community) AS c FROM nodes WHERE community IS NOT NULL GROUP BY id) SELECT o.c AS old, w.c AS new, count(*) AS n FROM o JOIN w USING (id) GROUP BY 1, 2")
+@query("u06_overlap", "WITH o AS (SELECT id, arg_max(community, (coalesce(captured_at, TIMESTAMP '0001-01-01'), seq)) AS c FROM nodes WHERE community IS NOT NULL AND id IS NOT NULL AND (captured_at < TIMESTAMP '2025-06-01' OR captured_at IS NULL) GROUP BY id), w AS (SELECT id, arg_max(community, (captured_at, seq)) AS c FROM nodes WHERE community IS NOT NULL AND id IS NOT NULL AND captured_at >= TIMESTAMP '2025-03-01' GROUP BY id) SELECT o.c AS old, w.c AS new, count(*) AS n FROM o JOIN w USING (id) GROUP BY 1, 2")
 def overlap(spark, d):
-    c = read(spark, d, "nodes").where("community is not null").groupBy("id").agg(F.min("community").alias("old"), F.max("community").alias("new"))
-    return c.groupBy("old", "new").agg(F.count("*").alias("n"))
+    """Members that communities of an earlier and of a later state share."""
+    n = read(spark, d, "nodes").where("community is not null")
+    state = lambda when, name: g.latest_nodes(n.where(when)).select("id", F.col("community").alias(name))
+    both = state("captured_at < timestamp_ntz'2025-06-01' or captured_at is null", "old").join(state("captured_at >= timestamp_ntz'2025-03-01'", "new"), "id")
+    return both.groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
 @query("k11_path_totals", "WITH f AS (SELECT DISTINCT source_file FROM sources), x AS (SELECT array_to_string(list_slice(string_split(source_file, '/'), 1, i), '/') AS folder FROM f, LATERAL (SELECT unnest(range(1, len(string_split(source_file, '/')))) AS i)) SELECT folder, count(*) AS files FROM x GROUP BY folder")
@@ -436,7 +443,7 @@ def bfs(spark, d):
     return s.breadth_first(edges(spark, d), _start(spark, d), 3)
 
 
-@query("q09_distances", GRAPH + _levels("SELECT other AS id FROM links WHERE links.id IN {frontier}", 4) + " SELECT * FROM v4")
+@query("q09_distances", GRAPH + _levels("SELECT other AS id FROM links WHERE links.id IN {frontier}", 8) + " SELECT * FROM v8")
 def distance(spark, d):
     # ids become numbers, once, so that each of the eight levels shuffles pairs of numbers
     ids = cut(nodes(spark, d).select("id", F.monotonically_increasing_id().alias("n")))

@@ -52,7 +52,7 @@ def sessions(spark, d):
     return memory.sessions(read(spark, d, "events"), "user_id", "ts", "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("r02_stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("r01_stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     out = windows.run_once(windows.windowed(windows.stream(spark, f"{d}/events.parquet*")))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
@@ -89,18 +89,12 @@ def losses(spark, d):
     return incremental.unexplained_losses(n.where("captured_at < timestamp_ntz'2025-06-01'").select("id", "source_file").distinct(), new, new)
 
 
-@query("u05_append_unseen", "SELECT id, label FROM shared_nodes UNION ALL SELECT DISTINCT id, any_value(label) FROM (SELECT id, 'x' AS label FROM nodes WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM shared_nodes)) GROUP BY id")
-def append_unseen(spark, d):
-    added = read(spark, d, "nodes").where("id is not null").select("id", F.lit("x").alias("label")).distinct()
-    return incremental.append_unseen(read(spark, d, "shared_nodes").select("id", "label"), added, "id")
-
-
 @query("j28_merge_by_label", GRAPH + "SELECT n.id, CASE WHEN coalesce(source_file,'') = '' AND home IS NOT NULL THEN home ELSE n.id END AS merged FROM n LEFT JOIN (SELECT label, min(id) AS home FROM n WHERE coalesce(source_file,'') <> '' AND label IS NOT NULL GROUP BY label) k ON k.label = n.label")
 def merge_by_label(spark, d):
     return incremental.merge_by_label(nodes(spark, d))
 
 
-@query("j14_unique_targets", GRAPH + "SELECT name, min(id) AS id FROM (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, id FROM n WHERE NOT regexp_matches(label, '[^\\x00-\\x7f]')) GROUP BY name HAVING count(*) = 1")
+@query("j14_unique_targets", GRAPH + "SELECT name, min(id) AS id FROM (SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, id FROM n WHERE label IS NOT NULL) GROUP BY name HAVING count(*) = 1")
 def unique_targets(spark, d):
     n = nodes(spark, d).where("label is not null")
     return incremental.unique_label_targets(n, n.select(r.bare_name(F.col("label")).alias("name")))
@@ -113,14 +107,14 @@ def group_members(spark, d):
     return incremental.members(groups.join(known, "group", "left_semi"), read(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id")))
 
 
-@query("g07_label_groups", "WITH x AS (SELECT id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS k, source_file FROM (SELECT DISTINCT id, label, source_file FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]') AND source_file <> '' AND id IS NOT NULL AND file_type <> 'code')) SELECT k, source_file, arg_min(id, lpad(length(id)::VARCHAR, 6, '0') || id) AS winner, count(DISTINCT id) AS ids FROM x WHERE k <> '' GROUP BY k, source_file HAVING count(DISTINCT id) > 1")
+@query("g07_label_groups")
 def label_groups(spark, d):
     x = read(spark, d, "nodes").where("label is not null and source_file <> '' and id is not null and file_type <> 'code'").select("id", "label", "source_file").distinct()
     x = x.withColumn("k", label_key(F.col("label"))).where("k <> ''")
     return x.groupBy("k", "source_file").agg(F.min_by("id", F.struct(F.length("id"), "id")).alias("winner"), F.countDistinct("id").alias("ids")).where("ids > 1")
 
 
-@query("y07_label_index", "SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, count(DISTINCT id) AS ids FROM nodes WHERE label IS NOT NULL AND id IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]') GROUP BY 1")
+@query("y07_label_index", "SELECT regexp_replace(lower(label), '\\(\\)$', '') AS name, count(DISTINCT id) AS ids FROM nodes WHERE label IS NOT NULL AND id IS NOT NULL GROUP BY 1")
 def label_index(spark, d):
     return read(spark, d, "nodes").where("id is not null and label is not null").groupBy(r.bare_name(F.col("label")).alias("name")).agg(F.countDistinct("id").alias("ids"))
 
@@ -164,24 +158,19 @@ def ci_rollup(spark, d):
     return _prs(spark, d).groupBy("repo").agg(F.when(has("FAILURE"), "FAILURE").when(has("PENDING"), "PENDING").when(has("SUCCESS"), "SUCCESS").otherwise("NONE").alias("ci"))
 
 
-@query("g25_conflicts", f"SELECT repo, count(*) AS prs FROM ({PR}) WHERE repo IS NOT NULL GROUP BY repo HAVING count(*) > 1")
-def conflicts(spark, d):
-    return _prs(spark, d).where("repo is not null").groupBy("repo").agg(F.count("*").alias("prs")).where("prs > 1")
-
-
 @query("k03_cypher", GRAPH + "SELECT edge_id, 'MATCH (a {id: ''' || replace(replace(source, '\\', '\\\\'), '''', '\\''') || '''}), (b {id: ''' || replace(replace(target, '\\', '\\\\'), '''', '\\''') || '''}) MERGE (a)-[:' || upper(regexp_replace(coalesce(relation,'related'), '[^A-Za-z0-9_]', '_', 'g')) || ']->(b);' AS line FROM e")
 def cypher(spark, d):
     return export.cypher_edges(edges(spark, d))
 
 
-@query("s20_node_link_round_trip", GRAPH + "SELECT id, label, file_type, coalesce(community, -1) AS community FROM n")
+@query("s20_node_link_round_trip", GRAPH + "SELECT 'nodes' AS part, id, label, file_type, source_file, coalesce(community, -1)::VARCHAR AS community, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::VARCHAR AS relation, NULL::VARCHAR AS confidence FROM n UNION ALL SELECT 'links', NULL, NULL, NULL, NULL, NULL, source, target, relation, confidence FROM e")
 def node_link(spark, d):
     n, links = export.read_node_link(export.node_link(nodes(spark, d), edges(spark, d)))
-    n = n.select(F.lit("nodes").alias("part"), "id", "label", "file_type", "source_file", F.coalesce("community", F.lit(-1)).alias("community"))
+    n = n.select(F.lit("nodes").alias("part"), "id", "label", "file_type", "source_file", F.coalesce("community", F.lit(-1)).cast("string").alias("community"))
     return n.unionByName(links.select(F.lit("links").alias("part"), "source", "target", "relation", "confidence"), allowMissingColumns=True)
 
 
-@query("x02_links", "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"\\)\\]|]+')) AS url FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query("x02_links", "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s\\x0b\\p{Z}\\x{85}<>\"\\)\\]|]+')) AS url FROM documents")
 def doc_links(spark, d):
     return text.links(read(spark, d, "documents"), "doc_id", "text")
 
@@ -224,24 +213,18 @@ def around(spark, d):
     return neighbours(e, g.degree(e).orderBy(F.desc("degree"), "id").first().id)
 
 
-@query("q06_label_matches", "SELECT DISTINCT id FROM nodes WHERE contains(lower(label), 'cache') AND NOT regexp_matches(label, '[^\\x00-\\x7f]')")
+@query("q06_label_matches")
 def label_matches(spark, d):
     return searchable(read(spark, d, "nodes")).where(F.col("norm").contains("cache")).select("id").distinct()
 
 
-@query("j13_trigram_candidates", "WITH l AS (SELECT DISTINCT id, lower(label) AS t FROM nodes WHERE label IS NOT NULL AND NOT regexp_matches(label, '[^\\x00-\\x7f]')) SELECT DISTINCT id FROM l WHERE contains(t, 'cac') AND contains(t, 'ach') AND contains(t, 'che')")
+@query("j13_trigram_candidates")
 def trigram_candidates(spark, d):
     l = searchable(read(spark, d, "nodes")).select("id", F.col("norm").alias("t")).distinct()  # noqa: E741
     postings = l.select("id", "t", F.explode(r.shingles(F.col("t"))).alias("g")).where(F.col("g").isin("cac", "ach", "che"))
     return postings.groupBy("id", "t").agg(F.countDistinct("g").alias("k")).where("k = 3").select("id").distinct()
 
 
-@query("u01_union", "SELECT id, any_value(1) AS one FROM (SELECT id FROM nodes UNION ALL SELECT id FROM shared_nodes) WHERE id IS NOT NULL GROUP BY id")
-def union(spark, d):
-    both = read(spark, d, "nodes").unionByName(read(spark, d, "shared_nodes"), allowMissingColumns=True)
-    return both.where("id is not null").select("id", F.lit(1).alias("one")).distinct()
-
-
 @query("y30_without_repo", GRAPH + "SELECT id FROM n WHERE repo <> 'ember_crane'")
 def without_repo(spark, d):
     return nodes(spark, d).where("repo <> 'ember_crane'").select("id")

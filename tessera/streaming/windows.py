@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_folder
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream; a glob as path, so that it may be one file or a folder of them."""
@@ -21,8 +23,14 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> Da
 
 
 def run_once(counts: DataFrame) -> DataFrame:
-    """Runs a stream over all there is and gives its complete state."""
-    name = "w" + uuid.uuid4().hex
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over all there is and gives its complete state, written as Parquet, with the
+    stream's own checkpoint, in the shared folder; nothing of it is held by the driver."""
+    spark = counts.sparkSession
+    root = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+    def write(state: DataFrame, _: int) -> None:
+        state.write.mode("overwrite").parquet(f"{root}/state")
+
+    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{root}/state")
