@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import search_form
@@ -28,6 +28,14 @@ STOPWORDS = frozenset(
     # Italian
     " perché cosa quale quali dove funziona sono che della".split()
 )
+CONTEXT_HINTS = {
+    "call": "call calls called invoke invokes invoked",
+    "import": "import imports imported module modules",
+    "field": "field fields member members property properties",
+    "parameter_type": "parameter parameters param params argument arguments",
+    "return_type": "return returns returned",
+    "generic_arg": "generic generics template templates",
+}
 EXACT, PREFIX, FULL_EXACT, FULL_PREFIX, SOURCE = 1000.0, 100.0, 10000.0, 1000.0, 0.5
 
 
@@ -37,6 +45,13 @@ def query_terms(question: str) -> list[str]:
     return list(dict.fromkeys([t for t in terms if t not in STOPWORDS] or terms))
 
 
+def context_filters(question: Column) -> Column:
+    """Contexts that the words of a question hint at, in the order of the hints."""
+    tokens = F.split(search_form(F.translate(question, "?,", "  ")), r"\s+")
+    hinted = [F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words.split()))), name) for name, words in CONTEXT_HINTS.items()]
+    return F.array_compact(F.array(*hinted))
+
+
 def searchable(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("norm", search_form(F.coalesce("label", F.lit("")))).withColumn("file", F.lower(F.coalesce("source_file", F.lit(""))))
 

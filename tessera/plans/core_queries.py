@@ -11,6 +11,7 @@ from tessera.plans import build_queries as _build_queries  # noqa: F401
 from tessera.plans import entity_queries as _entity_queries  # noqa: F401
 from tessera.plans import graph_queries as _graph_queries  # noqa: F401  (fills the registry)
 from tessera.plans import more_queries as _more_queries  # noqa: F401
+from tessera.plans import source_queries as _source_queries  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 from tessera.operators import skew
 from tessera.session import read

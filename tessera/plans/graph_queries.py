@@ -171,11 +171,6 @@ def file_classes(spark, d):
     return read(spark, d, "sources").groupBy(sx.alias("suffix"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("s04_sensitive_paths", "SELECT scan_id FROM sources WHERE regexp_matches(source_file, '(^|/)(\\.ssh|\\.gnupg|\\.aws|\\.gcloud|secrets|\\.secrets|credentials)/') OR regexp_matches(split_part(source_file,'/',-1), '(?i)^\\.(env|envrc)(\\.|$)|\\.(pem|key|p12|pfx|cert|crt|der|p8)$|(\\.netrc|\\.pgpass|\\.htpasswd)$')")
-def sensitive(spark, d):
-    return read(spark, d, "sources").where(r.is_sensitive_path(F.col("source_file"))).select("scan_id")
-
-
 @query("s06_words", "SELECT scan_id, len(list_filter(regexp_split_to_array(content, '[\\s\\p{Z}\\x0b\\x85]+'), lambda x: x <> '')) AS words FROM sources WHERE content IS NOT NULL")
 def word_counts(spark, d):
     return read(spark, d, "sources").where("content is not null").select("scan_id", r.words(F.col("content")).cast("long").alias("words"))
