@@ -422,8 +422,8 @@ def path_totals(spark, d):
 START = "(SELECT id FROM deg ORDER BY degree DESC, id LIMIT 3)"
 
 
-def _start(spark, d) -> DataFrame:
-    return g.degree(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(3).select("id")
+def _start(links: DataFrame) -> DataFrame:
+    return g.degree(links).orderBy(F.desc("degree"), "id").limit(3).select("id")
 
 
 def _levels(step: str, depth: int, extra: str = "") -> str:
@@ -435,7 +435,8 @@ def _levels(step: str, depth: int, extra: str = "") -> str:
 
 @query("q01_breadth_first", GRAPH + ", h AS (SELECT greatest(50, min(degree)) AS t FROM (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS c FROM deg) WHERE i >= floor(c * 0.99)), hubs AS (SELECT id FROM deg, h WHERE degree >= t)" + _levels("SELECT target AS id FROM e WHERE source IN {frontier}", 3, " AND id NOT IN (SELECT id FROM hubs)") + " SELECT * FROM v3")
 def bfs(spark, d):
-    return s.breadth_first(edges(spark, d), _start(spark, d), 3)
+    links = cut(edges(spark, d).select("source", "target").distinct())  # read by the degrees, the start and each level
+    return s.breadth_first(links, _start(links), 3)
 
 
 @query("q09_distances", GRAPH + _levels("SELECT other AS id FROM links WHERE links.id IN {frontier}", 8) + " SELECT * FROM v8")
@@ -452,7 +453,8 @@ def distance(spark, d):
 
 @query("q10_affected", GRAPH + ", r AS (SELECT DISTINCT source, target, relation FROM e WHERE relation IN ('calls','imports','references','uses'))" + f", s0 AS {START}, a1 AS (SELECT source AS id, 1 AS hops, min(relation) AS via FROM r WHERE target IN (SELECT id FROM s0) AND source NOT IN (SELECT id FROM s0) GROUP BY source), a2 AS (SELECT source AS id, 2 AS hops, min(relation) AS via FROM r WHERE target IN (SELECT id FROM a1) AND source NOT IN (SELECT id FROM s0) AND source NOT IN (SELECT id FROM a1) GROUP BY source) SELECT * FROM a1 UNION ALL SELECT * FROM a2")
 def impact(spark, d):
-    return s.affected(edges(spark, d), _start(spark, d), ["calls", "imports", "references", "uses"])
+    links = cut(edges(spark, d).select("source", "target", "relation").distinct())
+    return s.affected(links, _start(links), ["calls", "imports", "references", "uses"])
 
 
 @query("q08_community_members", GRAPH + "SELECT id, label FROM n WHERE community = 3")
