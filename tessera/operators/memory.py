@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HALF_LIFE_DAYS = 30.0
+#: A day by itself or, as SQL has it, with a time of day and what follows that.
+_DAY = r"(?s)\A\s*(\d{1,7})([-/\\ ])(\d{1,2})\2(\d{1,2})(?:\s*|[T ]\s*(?:[01]?\d|2[0-4]):[0-5]?\d(?!\d).*)\z"
+
+
+def day(written: Column) -> Column:
+    """The day that a text says; null where it says none, or more. A cast would end the query there, or
+    read "2025" and "2025-05-17 or so" as days."""
+    year = F.regexp_extract(written, _DAY, 1)
+    parts = [F.lpad(year, F.greatest(F.length(year), F.lit(4)), F.lit("0")), F.regexp_extract(written, _DAY, 3), F.regexp_extract(written, _DAY, 4)]
+    return F.concat_ws("-", *parts).try_cast("date")
 
 
 def decay(at: Column, now: Column, half_life: float = HALF_LIFE_DAYS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as g
-from tessera.operators import identity
+from tessera.operators import identity, memory
 from tessera.operators import rules as r
 from tessera.plans.graph_queries import edges, nodes
 from tessera.plans.more_queries import PR, _prs
@@ -259,7 +259,7 @@ def citations(spark, d):
 def finished_lessons(spark, d):
     rows = _memory(spark, d).select("date", "outcome", F.explode("source_nodes").alias("node"))
     sign = F.when(F.col("outcome") == "useful", 1).when(F.col("outcome") == "dead_end", -1).otherwise(0)
-    age = F.greatest(F.datediff(F.lit("2026-01-01").cast("date"), F.col("date").cast("date")), F.lit(0))
+    age = F.greatest(F.datediff(F.lit("2026-01-01").cast("date"), memory.day(F.col("date"))), F.lit(0))  # without a day, in full
     made = rows.groupBy("node").agg(F.round(F.sum(sign * F.pow(F.lit(0.5), age / 30.0)), 9).alias("score"), F.count_if(sign > 0).alias("pos"), F.count_if(sign < 0).alias("neg"))
     bucket = F.when((F.col("pos") >= 2) & (F.col("neg") == 0), "preferred").when((F.col("pos") > 0) & (F.col("neg") > 0), "contested").when(F.col("pos") > 0, "tentative").otherwise("avoided")
     return made.select("node", "score", bucket.alias("bucket"))

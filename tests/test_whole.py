@@ -111,6 +111,16 @@ def test_round_trip_keeps_links(spark, tmp_path, monkeypatch):
         assert _got(spark, tmp_path, "u09_same_topology") == {(False,)}
 
 
+def test_lessons_with_dates_that_are_none(spark, tmp_path):
+    days = {"2025-12-02": 0.5, "2025-12-2": 0.5, "2025/12/02": 0.5, "2025-12-02T23:30:00-05:00": 0.5, "2025-12-02 12:00": 0.5, "2025-10-03": 0.125, "2027-01-01": 1.0, "0025-12-02": 0.0, "25-12-02": 0.0, "": 1.0}
+    none = ["trailing    2025-12-02", "2025-12-02 or so", "2025-12-02Tx", "<|endoftext|> 2025-12-02", "\ufeff2025-12-02", "\x852025-12-02", "2025-02-30", "2025", "2025-12", "2025-12-02 25:00", "soon", "２０２５-12-02"]
+    memo = lambda i, x: (i, f"---\ndate: {x}\noutcome: useful\nsource_nodes: [n{i}]\n---\n")
+    docs = [memo(i, x) for i, x in enumerate([*days, *none])]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(f"n{i}", x, "tentative") for i, x in enumerate([*days.values(), *(1.0 for _ in none)])}
+    assert _got(spark, tmp_path, "y24_finished_lessons") == want
+
+
 def test_communities_merge_in_levels(spark):
     names = [f"v{i:02}" for i in range(64)]
     nodes = spark.createDataFrame([(x,) for x in names], "id string")
