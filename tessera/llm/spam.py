@@ -2,8 +2,10 @@
 
 A text is read as a sequence of word classes: function words by their role, content words by
 their form and by whether they were just used, links, tags, numbers, punctuation, line ends.
-Trigram models of these sequences are fitted to a bounded sample of the documents. What is prose
-is told by the texts alone, never by their source:
+Trigram models of these sequences are fitted to all documents: their counts, and those of the windows
+by perplexity, are summed over the tables, and only these sums, of bounded size, reach the driver. The
+sequences, a byte a class, are made once and stored. What is prose is told by the texts alone, never
+by their source:
 
 1. A prose model on the documents with at least PROSE function words among their words, and few
    links. The perplexities of their windows of WINDOW classes give the bounds of what is normal:
@@ -19,20 +21,22 @@ BITS. The second model is needed as code, logs and tables are no prose either; a
 is low because a text repeats itself does not make it prose: contexts that are rare in prose fall
 back to shorter ones, and a word just used is another class than a new one.
 
-Null, empty and blank texts are never found. Copies are scored each. Without a prose document or
-without an abnormal one in the sample, nothing is found. Only doc_id and text are read.
+Null, empty and blank texts are never found. Copies are counted and scored each. Without a prose
+document or without an abnormal one, nothing is found. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import stored
+
 # Function words of the six languages, by role.
 ROLES = {
     "article": "the a an this that these those each every its their his her der die das den dem des ein eine einen einem einer eines dieser diese dieses jede jeder jedes le la les un une des ce cet cette ces chaque el los las unos unas una este esta estos estas cada lo",
@@ -50,10 +54,10 @@ K = len(CLASSES)
 _FUNCTION = {word: C[role] for role, words in reversed(ROLES.items()) for word in words.split()} | dict.fromkeys(RUSSIAN.split(), C["ru"])
 _REPEATABLE = {C["word"]: (C["word_near"], C["word_far"]), C["cap"]: (C["cap_near"], C["cap_far"]), C["upper"]: (C["upper_near"], C["upper_near"]), C["mixed"]: (C["mixed_near"], C["mixed_near"])}
 NEAR = 12
-#: Classes in a window, fitting rounds, and the most documents that the models are fitted to.
-WINDOW, ROUNDS, TRAINING_DOCUMENTS = 32, 4, 8_000
-#: Of a training document, at most so many windows, evenly spaced.
-TRAINING_WINDOWS = 32
+#: Classes in a window, and fitting rounds.
+WINDOW, ROUNDS = 32, 4
+#: Perplexities are told to 1/STEPS of a bit.
+STEPS = 1 << 14
 #: Share of function words in prose and of links beyond it, and the quantiles of its perplexity that bound the normal.
 PROSE, FEW_LINKS, TAILS = 0.25, 0.05, (0.002, 0.98)
 #: Shares that start the abnormal class: links; repeated words with few function words; hardly any function words.
@@ -132,8 +136,8 @@ _USED_BEFORE = _classes("word_near", "word_far", "cap_near", "cap_far", "upper_n
 _ALL_WORDS = np.minimum(_FUNCTIONS + _LINKS + _USED_BEFORE + _classes("word", "cap", "upper", "mixed", "name", "number"), 1.0)
 
 
-def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram codes of all texts, one after the other, and the number of each text's classes."""
+def classes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all texts, one after the other, and the number of each text's classes."""
     lists = [list(map(_codes.__getitem__, _TOKEN(t))) for t in texts]
     sizes = np.array([len(x) for x in lists], dtype=np.int64)
     codes = np.fromiter((c for x in lists for c in x), np.int64, count=int(sizes.sum()))
@@ -152,10 +156,14 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         gap[order[1:]] = np.where(key[order[1:]] == key[order[:-1]], order[1:] - order[:-1], 1 << 30)
         new = kinds[at]
         kinds[at] = np.where(gap <= NEAR, _NEAR_OF[new], np.where(gap < 1 << 30, _FAR_OF[new], new))
+    return kinds, sizes
+
+
+def trigrams(kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     padded = np.zeros(len(kinds) + 2 * len(sizes), np.int64)  # each text begins with two pads
-    place = np.arange(len(kinds)) + 2 * (text + 1)
+    place = np.arange(len(kinds)) + 2 * (np.repeat(np.arange(len(sizes)), sizes) + 1)
     padded[place] = kinds
-    return (padded[place - 2] * K + padded[place - 1]) * K + kinds, sizes
+    return (padded[place - 2] * K + padded[place - 1]) * K + padded[place]
 
 
 def surprises(counts: np.ndarray) -> np.ndarray:
@@ -181,80 +189,138 @@ def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, start) if len(start) else np.zeros(0)
 
 
-def fit(codes: np.ndarray, sizes: np.ndarray) -> dict | None:
-    """The prose model (bits per trigram), the bounds of its perplexity (as bits per class), and how
-    many bits more each trigram costs under the model of normal pages than under that of abnormal
-    ones; None if either class is empty."""
-    owner, start, length = windows(sizes)
-    texts, kinds, size = np.repeat(np.arange(len(sizes)), sizes), codes % K, np.maximum(sizes, 1)
-    many = lambda chosen: np.bincount(texts, chosen[kinds], len(sizes))
-    of_text = lambda chosen: np.bincount(owner, np.where(chosen, length, 0), len(sizes)) / size
-    model = lambda chosen: surprises(np.bincount(codes[chosen[texts]], minlength=K**3))
-    words = np.maximum(many(_ALL_WORDS), 1)
-    functions, links = many(_FUNCTIONS) / words, many(_LINKS) / words
-
-    prose = (functions >= PROSE) & (links <= FEW_LINKS) & (sizes > 0)
-    if not prose.any():
-        return None
-    bits = model(prose)
-    perplexity = _sums(bits[codes], start) / length
-    low, high = np.quantile(perplexity[prose[owner]], TAILS)
-    beyond = of_text((perplexity < low) | (perplexity > high)) > 0.5
-    abnormal = (links > LINKS) | ((functions < FEW) & (many(_USED_BEFORE) / words > REPEATED)) | (beyond & (functions < HARDLY_ANY) & (many(_CODE) / size < CODE_SIGNS))
-    abnormal &= sizes > 0
-    for _ in range(ROUNDS):
-        if not abnormal.any() or abnormal.all():
-            return None
-        rise = model(~abnormal) - model(abnormal)
-        abnormal = of_text(_sums(rise[codes], start) > 0) > 0.5
-    return {"prose": bits.astype(np.float32), "low": float(low), "high": float(high), "rise": rise.astype(np.float32)}
+def _sequences(documents: DataFrame) -> DataFrame:
+    """(doc_id, kinds, prose, abnormal, bare) of every document with a text that is not blank: its classes, a
+    byte each, whether it is prose, starts the abnormal class, or does so if its windows are beyond the bounds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, sizes = classes(b["text"].to_pylist())
+            texts, size = np.repeat(np.arange(len(sizes)), sizes), np.maximum(sizes, 1)
+            many = lambda chosen: np.bincount(texts, chosen[kinds], len(sizes))
+            words = np.maximum(many(_ALL_WORDS), 1)
+            functions, links = many(_FUNCTIONS) / words, many(_LINKS) / words
+            prose = (functions >= PROSE) & (links <= FEW_LINKS) & (sizes > 0)
+            abnormal = ((links > LINKS) | ((functions < FEW) & (many(_USED_BEFORE) / words > REPEATED))) & (sizes > 0)
+            bare = (functions < HARDLY_ANY) & (many(_CODE) / size < CODE_SIGNS) & (sizes > 0)
+            ends = pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, ends, pa.py_buffer(kinds.astype(np.uint8).tobytes())])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], packed, *map(pa.array, (prose, abnormal, bare))], names=["doc_id", "kinds", "prose", "abnormal", "bare"])
 
-def score(model: dict, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: the share of it in abnormal windows, and the mean rise in bits."""
-    owner, start, length = windows(sizes)
-    perplexity = _sums(model["prose"][codes].astype(float), start) / np.maximum(length, 1)
-    rise = _sums(model["rise"][codes].astype(float), start)
-    abnormal = ((perplexity < model["low"]) | (perplexity > model["high"])) & (rise > 0)
-    size = np.maximum(sizes, 1)
-    return np.bincount(owner, np.where(abnormal, length, 0), len(sizes)) / size, np.bincount(owner, rise, len(sizes)) / size
+    texts = documents.where("text is not null").select("doc_id", "text").where(NOT_BLANK)
+    return stored(texts.mapInArrow(run, "doc_id long, kinds binary, prose boolean, abnormal boolean, bare boolean"))
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram codes of all texts, one after the other, and the number of each text's classes."""
+    sizes = np.array([len(x) for x in packed.to_pylist()], dtype=np.int64)
+    return trigrams(np.frombuffer(b"".join(packed.to_pylist()), np.uint8), sizes), sizes
+
+
+def _flags(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b[name].to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _sample(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of at most about TRAINING_DOCUMENTS documents, chosen by a hash of their id, of
-    each at most TRAINING_WINDOWS windows: 4 kB a document."""
-    part = min(1.0, TRAINING_DOCUMENTS / max(1, documents.count()))
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).where(NOT_BLANK)
+def _summed(frame: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum of `count`, `size` numbers a batch, over a whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for b in batches:
-            codes, sizes = sequences(b["text"].to_pylist())
+            total += count(b)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    rows = frame.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(size, np.int64)
+    total[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return total
+
+
+def _perplexity(bits: np.ndarray, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each window, in steps."""
+    return np.rint(_sums(bits[codes].astype(float), start) / np.maximum(length, 1) * STEPS).astype(np.int64)
+
+
+def _quantile(counts: np.ndarray, share: float) -> float:
+    """Of the places of counts, linear between neighbours."""
+    ends, place = np.cumsum(counts), share * (counts.sum() - 1)
+    below, above = (int(np.searchsorted(ends, x, "right")) for x in (np.floor(place), np.ceil(place)))
+    return below + (above - below) * (place - np.floor(place))
+
+
+def _shares(chosen: np.ndarray, owner: np.ndarray, length: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each text, the share in windows that are chosen."""
+    return np.bincount(owner, np.where(chosen, length, 0), len(sizes)) / np.maximum(sizes, 1)
+
+
+def fit(read: DataFrame) -> dict | None:
+    """The prose model (bits per trigram), the bounds of its perplexity (in steps), and how many bits
+    more each trigram costs under the model of normal pages than under that of abnormal ones, of all
+    documents; None if either class is empty."""
+    context = read.sparkSession.sparkContext
+    columns = read.select("kinds", "prose", "abnormal", "bare")
+    tally = lambda codes: np.bincount(codes, minlength=K**3)
+    every = _summed(columns, lambda b: tally(_unpacked(b["kinds"])[0]), K**3)
+    in_prose = _summed(columns.where("prose"), lambda b: tally(_unpacked(b["kinds"])[0]), K**3)
+    if not in_prose.any():
+        return None
+    bits = context.broadcast(surprises(in_prose).astype(np.float32))
+    most = int(bits.value.max() + 1) * STEPS
+
+    def spread(b: pa.RecordBatch) -> np.ndarray:
+        codes, sizes = _unpacked(b["kinds"])
+        _, start, length = windows(sizes)
+        return np.bincount(_perplexity(bits.value, codes, start, length), minlength=most)
+
+    low, high = (_quantile(x, share) for x in [_summed(columns.where("prose"), spread, most)] for share in TAILS)
+
+    def begun(b: pa.RecordBatch) -> np.ndarray:
+        codes, sizes = _unpacked(b["kinds"])
+        owner, start, length = windows(sizes)
+        perplexity = _perplexity(bits.value, codes, start, length)
+        beyond = _shares((perplexity < low) | (perplexity > high), owner, length, sizes) > 0.5
+        chosen = _flags(b, "abnormal") | (beyond & _flags(b, "bare"))
+        return tally(codes[np.repeat(chosen, sizes)])
+
+    abnormal = _summed(columns, begun, K**3)
+    for n in range(ROUNDS):
+        if not abnormal.any() or (abnormal == every).all():
+            return None
+        rise = context.broadcast((surprises(every - abnormal) - surprises(abnormal)).astype(np.float32))
+
+        def told(b: pa.RecordBatch, rise=rise) -> np.ndarray:
+            codes, sizes = _unpacked(b["kinds"])
             owner, start, length = windows(sizes)
-            count = -(-sizes // WINDOW)
-            first, step = (np.cumsum(count) - count)[owner], np.maximum(1, -(-count // TRAINING_WINDOWS))[owner]
-            kept = (np.arange(len(owner)) - first) % step == 0
-            codes = codes[np.repeat(kept, length)]
-            sizes = np.bincount(owner[kept], length[kept], len(sizes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([codes.astype(np.int32).tobytes()]), pa.array([sizes.tobytes()])], names=["codes", "sizes"])
+            return tally(codes[np.repeat(_shares(_sums(rise.value[codes].astype(float), start) > 0, owner, length, sizes) > 0.5, sizes)])
+
+        if n < ROUNDS - 1:
+            abnormal = _summed(columns, told, K**3)
+    return {"prose": bits.value, "low": low, "high": high, "rise": rise.value}
 
-    rows = chosen.select("text").mapInArrow(run, "codes binary, sizes binary").collect()
-    join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows] or [np.zeros(0, kind)])
-    return join("codes", np.int32), join("sizes", np.int64)
+
+def score(model: dict, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: the share of it in abnormal windows, and the mean rise in bits."""
+    owner, start, length = windows(sizes)
+    perplexity = _perplexity(model["prose"], codes, start, length)
+    rise = _sums(model["rise"][codes].astype(float), start)
+    abnormal = ((perplexity < model["low"]) | (perplexity > model["high"])) & (rise > 0)
+    return _shares(abnormal, owner, length, sizes), np.bincount(owner, rise, len(sizes)) / np.maximum(sizes, 1)
 
 
 def scored(documents: DataFrame) -> DataFrame:
     """(doc_id, share, bits) of every document with a text that is not blank."""
-    model = documents.sparkSession.sparkContext.broadcast(fit(*_sample(documents)))
+    read = _sequences(documents)
+    model = documents.sparkSession.sparkContext.broadcast(fit(read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             share, bits = np.zeros(b.num_rows), np.full(b.num_rows, -1.0)
             if model.value is not None:
-                share, bits = score(model.value, *sequences(b["text"].to_pylist()))
+                share, bits = score(model.value, *_unpacked(b["kinds"]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(share), pa.array(bits)], names=["doc_id", "share", "bits"])
 
-    texts = documents.where("text is not null").select("doc_id", "text").where(NOT_BLANK)
-    return texts.mapInArrow(run, "doc_id long, share double, bits double")
+    return read.select("doc_id", "kinds").mapInArrow(run, "doc_id long, share double, bits double")
 
 
 def spam(documents: DataFrame) -> DataFrame:

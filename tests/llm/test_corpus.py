@@ -5,7 +5,9 @@ import os
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import handwritten, mixing, spam
 
@@ -107,6 +109,25 @@ def test_spam_on_a_small_corpus_whatever_the_sources(spark, names):
     assert found == set(range(210, 210 + len(bad))) | {len(rows) - 2}
 
 
+def test_spam_models_read_all_documents(spark):
+    """A few pages among very many are found, whichever their ids; long texts count to their end."""
+    rng = random.Random(9)
+    links = lambda: "\n".join(f"* parser: https://x{rng.randrange(99)}.example/a/{rng.randrange(999)}" for _ in range(40))
+    prose = [_prose(rng) for _ in range(50)]
+    far = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    ids = [r.doc_id for r in spark.range(40_000).withColumnRenamed("id", "doc_id").orderBy(far, "doc_id").collect()][:20_000]
+    texts = [prose[i % 50] for i in range(19_997)] + [links() for _ in range(3)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in spam.spam(docs).collect()} == set(ids[-3:])
+    read = spam._sequences(docs)
+    classes, sizes = spam.classes(texts)
+    codes, packed = spam.trigrams(classes, sizes), read.select("kinds")
+    every = spam._summed(packed, lambda b: np.bincount(spam._unpacked(b["kinds"])[0], minlength=spam.K**3), spam.K**3)
+    assert (every == np.bincount(codes, minlength=spam.K**3)).all()
+    counts = np.bincount(values := np.array([3, 3, 5, 9, 9, 20]))
+    assert all(spam._quantile(counts, q) == pytest.approx(np.quantile(values, q)) for q in (0.0, 0.002, 0.5, 0.7, 0.98, 1.0))
+
+
 def test_spam_without_documents(spark):
     assert spam.spam(_documents(spark, [])).count() == 0
     assert spam.spam(_documents(spark, [(None, None), ("", "web")])).count() == 0
